@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+from .pii import op3_pii
+from .quality_rules import op8_quality_rules
 from .secrets import op1_secrets
 
-QUERIES = {"op1_secrets": op1_secrets}
+QUERIES = {
+    "op1_secrets": op1_secrets,
+    "op3_pii": op3_pii,
+    "op8_quality_rules": op8_quality_rules,
+}
 ORACLE: dict[str, str] = {}
