@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .packing import op5_packing
 from .pii import op3_pii
 from .quality_rules import op8_quality_rules
 from .secrets import op1_secrets
@@ -9,6 +10,7 @@ from .secrets import op1_secrets
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op3_pii": op3_pii,
+    "op5_packing": op5_packing,
     "op8_quality_rules": op8_quality_rules,
 }
 ORACLE: dict[str, str] = {}
