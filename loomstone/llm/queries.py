@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .html_text import op6_html_text
 from .packing import op5_packing
 from .pii import op3_pii
 from .quality_rules import op8_quality_rules
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_secrets": op1_secrets,
     "op3_pii": op3_pii,
     "op5_packing": op5_packing,
+    "op6_html_text": op6_html_text,
     "op8_quality_rules": op8_quality_rules,
 }
 ORACLE: dict[str, str] = {}
