@@ -7,6 +7,7 @@ from .packing import op5_packing
 from .pii import op3_pii
 from .quality_rules import op8_quality_rules
 from .secrets import op1_secrets
+from .warc import op10_warc
 
 QUERIES = {
     "op1_secrets": op1_secrets,
@@ -14,5 +15,6 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_html_text": op6_html_text,
     "op8_quality_rules": op8_quality_rules,
+    "op10_warc": op10_warc,
 }
 ORACLE: dict[str, str] = {}
