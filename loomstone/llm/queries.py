@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op7_decontaminate
 from .html_text import op6_html_text
 from .packing import op5_packing
 from .pii import op3_pii
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op5_packing": op5_packing,
     "op6_html_text": op6_html_text,
+    "op7_decontaminate": op7_decontaminate,
     "op8_quality_rules": op8_quality_rules,
     "op10_warc": op10_warc,
 }
