@@ -8,6 +8,7 @@ from .packing import op5_packing
 from .pii import op3_pii
 from .quality_rules import op8_quality_rules
 from .secrets import op1_secrets
+from .substrings import op9_substrings
 from .warc import op10_warc
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op6_html_text": op6_html_text,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality_rules": op8_quality_rules,
+    "op9_substrings": op9_substrings,
     "op10_warc": op10_warc,
 }
 ORACLE: dict[str, str] = {}
