@@ -20,6 +20,8 @@ An empty table gives an empty result.  Other columns of the input are ignored.
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import zlib
 from bisect import bisect_left
@@ -31,8 +33,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table
+from .tokens import groups
 
 CACHE_WORDS = 400_000  # words whose ids a worker remembers; others are encoded each time they come
+TEXT_AT_ONCE = 1 << 19
 _workers: dict[str, "WordEncoder"] = {}
 
 
@@ -46,11 +50,12 @@ class WordEncoder:
     """Token ids of whole texts by a tokenizer that drops white space, word by word from a cache.
 
     Exact because such a tokenizer treats what blanks separate independently.  Before the split,
-    ASCII capitals are lowered (the tokenizer does so too) and a comma or full stop between a
-    letter or digit and a blank is set apart, which its own rules do as well.
+    capitals of texts below U+0180 are lowered (the tokenizer does so too), and a comma or full stop
+    between a letter or digit and a blank is set apart, which its own rules do as well.
     """
 
     def __init__(self, file: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(file)
@@ -58,43 +63,53 @@ class WordEncoder:
         self.ends = np.zeros(max(ends.values()) + 1, bool)
         for token, i in ends.items():
             self.ends[i] = token.endswith("</w>")
-        self.words: dict[bytes, bytes] = {b"": b""}
-        self.apart = re.compile(rb"(?<=[a-z0-9])([,.])(?=[ \n])").sub
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        data = text.encode("utf-8", "surrogatepass")
-        if b"<|" not in data:  # special tokens are matched before capitals are lowered
-            data = self.apart(rb" \1", data.lower())
-        words = data.replace(b"\n", b" ").split(b" ")
-        try:
-            return b"".join(map(self.words.__getitem__, words))
-        except KeyError:
-            new = self._learn([w for w in dict.fromkeys(words) if w not in self.words])
-            return b"".join([new[w] if w in new else self.words[w] for w in words])
-
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        new, plain, rest = {}, [], []
-        for w in words:
-            s = w.decode("utf-8", "surrogatepass")
-            (plain if s.isalpha() else rest).append((w, s))
+        self.words: dict[str, bytes] = {"": b""}
+        parts = json.loads(self.tok.to_str())
+        blanks = [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+        parts |= {"normalizer": None, "post_processor": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": blanks}}
+        self.lowered = Tokenizer.from_str(json.dumps(parts))  # the same, for words that are lowered letters
+        self.far = re.compile("[^\x00-\u017f]").search
+        self.joined = re.compile(r"[,.] (?<![^\W_][,.] )").search
+        self.apart = re.compile(r"(?<=[^\W_])([,.])(?= )").sub
+
+    def split(self, text: str) -> list[str]:
+        text = text.replace("\n", " ")
+        if "<|" not in text and (text.isascii() or self.far(text) is None):  # special tokens are matched before capitals are lowered
+            text = text.lower()
+        if self.joined(text) is None:
+            text = text.replace(", ", " , ").replace(". ", " . ")
+        else:
+            text = self.apart(r" \1", text)
+        return text.split(" ")
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        split = [self.split(t) for t in texts]
+        new = list(set().union(*split).difference(self.words))
+        if new:
+            self._learn(new)
+        out = [b"".join(map(self.words.__getitem__, w)) for w in split]
+        for w in new[max(0, len(new) - max(0, len(self.words) - CACHE_WORDS)) :]:
+            del self.words[w]
+        return out
+
+    def _learn(self, words: list[str]) -> None:
+        plain = [w for w in words if w.isalpha()]
+        rest = [w for w in words if not w.isalpha()]
         if plain:  # one run of letters is one word to the tokenizer, and its last id ends a word
-            ids = np.array(self.tok.encode_batch_fast([" ".join(s for _, s in plain)], add_special_tokens=False)[0].ids, "<u4")
+            line = " ".join(plain)
+            tok = self.lowered if line == line.lower() and self.far(line) is None else self.tok
+            ids = np.array(tok.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
             at = np.flatnonzero(self.ends[ids]) + 1
             if len(at) == len(plain) and at[-1] == len(ids):
                 raw, last = ids.tobytes(), 0
-                for (w, _), e in zip(plain, (at * 4).tolist()):
-                    new[w] = raw[last:e]
+                for w, e in zip(plain, (at * 4).tolist()):
+                    self.words[w] = raw[last:e]
                     last = e
             else:
                 rest += plain
-        if rest:
-            for (w, _), e in zip(rest, self.tok.encode_batch_fast([s for _, s in rest], add_special_tokens=False)):
-                new[w] = np.array(e.ids, "<u4").tobytes()
-        room = CACHE_WORDS - len(self.words)
-        if room > 0:
-            self.words.update(list(new.items())[:room])
-        return new
+        for w, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False) if rest else ()):
+            self.words[w] = np.array(e.ids, "<u4").tobytes()
 
 
 def cut_pieces(documents: DataFrame, file: str, seq_len: int, end_id: int = 0) -> DataFrame:
@@ -105,11 +120,13 @@ def cut_pieces(documents: DataFrame, file: str, seq_len: int, end_id: int = 0) -
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
-            for doc, text in zip(batch["doc_id"], batch["text"]):
-                ids = enc.encode(text or "") + end
-                for k, at in enumerate(range(0, len(ids), 4 * seq_len)):
-                    part = ids[at : at + 4 * seq_len]
-                    out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
+            docs, texts = batch["doc_id"].tolist(), [t or "" for t in batch["text"]]
+            for a, b in groups(texts, TEXT_AT_ONCE):
+                for doc, ids in zip(docs[a:b], enc.encode(texts[a:b])):
+                    ids += end
+                    for k, at in enumerate(range(0, len(ids), 4 * seq_len)):
+                        part = ids[at : at + 4 * seq_len]
+                        out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
             got = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             yield got.astype({"doc_id": "Int64"})
 

@@ -39,8 +39,8 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((total[end] - total[start]) * powers(len(data) + 1, "down")[start] + (end - start).astype("u8"))
 
 
-def groups(texts: list[bytes], most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of texts that hold about ``most`` bytes; a longer text is a range of its own."""
+def groups(texts: list, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that hold about ``most`` bytes or characters; a longer text is a range of its own."""
     at = size = 0
     for i, t in enumerate(texts):
         if size and size + len(t) > most:
