@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op7_decontaminate
 from .html_text import op6_html_text
+from .near_duplicates import op2_near_duplicates
 from .packing import op5_packing
 from .pii import op3_pii
 from .quality_rules import op8_quality_rules
@@ -13,6 +14,7 @@ from .warc import op10_warc
 
 QUERIES = {
     "op1_secrets": op1_secrets,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_pii": op3_pii,
     "op5_packing": op5_packing,
     "op6_html_text": op6_html_text,
