@@ -7,6 +7,7 @@ from .html_text import op6_html_text
 from .near_duplicates import op2_near_duplicates
 from .packing import op5_packing
 from .pii import op3_pii
+from .quality_model import op4_quality_model
 from .quality_rules import op8_quality_rules
 from .secrets import op1_secrets
 from .substrings import op9_substrings
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_pii": op3_pii,
+    "op4_quality_model": op4_quality_model,
     "op5_packing": op5_packing,
     "op6_html_text": op6_html_text,
     "op7_decontaminate": op7_decontaminate,
