@@ -35,6 +35,7 @@ KINDS = ("assign", "access", "hex")
 
 BINS, STEP = 400, 0.1  # bins of -log10(p): 0 to 40
 STRATA = 12
+BROADCAST_SPANS = 500_000  # up to so many spans (some 20 MB) texts find theirs by broadcast, beyond by shuffle
 
 
 def _upper_tail(z: Column) -> Column:
@@ -155,6 +156,9 @@ def redact(documents: DataFrame, mask: str = "[SECRET]", fdr: float = 0.01) -> D
         .where(F.size("_spans") > 0)
         .dropDuplicates(["_key"])
     )
+    hits = cut(hits)
+    if (hits.agg(F.sum(F.size("_spans"))).first()[0] or 0) <= BROADCAST_SPANS:
+        hits = F.broadcast(hits)
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<g:int,n:int>>").alias("out"))
 
     def step(acc, x):  # the text from acc.at to x.s stays; mask only where the span begins anew

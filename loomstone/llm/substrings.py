@@ -7,7 +7,8 @@ that equal strings have a sample at the same place, settles which suffixes can h
 and which bucket they belong to:
 
 1. The sample of a string is its least hashed seed of ``SEED`` bytes, the leftmost if equal.  It
-   takes about 1 position in 16; a periodic difference cover for 50 bytes would take 6 in 31.
+   takes 1 position in 10.  A periodic difference cover would take 6 in 31 with seeds of 20 bytes,
+   and strings with one seed would not have it at one place; seeds of 20 bytes also recur by chance.
 2. Documents are dealt into groups of bounded size.  Each group sends the distinct hashes of its
    seeds to buckets of hash ranges, which answer with those that another group has too.
 3. For seeds that more than one document has, each group sends the distinct surroundings (all
@@ -37,23 +38,23 @@ from pyspark.sql import functions as F
 from .common import cut, table
 from .tokens import groups, mix, powers, span_hashes
 
-LENGTH, SEED = 50, 20
+LENGTH, SEED = 50, 32
 W = LENGTH - SEED + 1  # seeds of a string
 AROUND = LENGTH + W - 1  # bytes of all strings that hold a seed
-GROUP_BYTES = 8 << 20
-CHUNK = 1 << 20
+GROUP_BYTES = 4 << 20
+SEED_BUCKET_BYTES = 32 << 20  # text whose seeds share a bucket
+SORT_BUCKET_BYTES = 8 << 20  # text whose surroundings share a bucket
+SORTED_AT_ONCE = 1 << 20  # strings
+CHUNK = 1 << 19
 SIDE = "g long, kind int, x long, idx long, data binary"
 
 
 def seed_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the SEED (16 + 4) bytes from each place."""
-    h = data.astype("u8") + np.uint64(1)
-    kept = {}
-    for n in (1, 2, 4, 8):
-        h = h[:-n] * powers(n + 1)[n] + h[n:]
-        kept[2 * n] = h
-    m = len(data) - SEED + 1
-    return mix(h[:m] * powers(5)[4] + kept[4][16 : 16 + m])
+    """Hash of the SEED bytes (a power of two) from each place."""
+    h, n = data.astype("u8") + np.uint64(1), 1
+    while n < SEED:
+        h, n = h[:-n] * powers(n + 1)[n] + h[n:], 2 * n
+    return mix(h)
 
 
 def seeds_of(texts: list[bytes]):
@@ -68,7 +69,7 @@ def seeds_of(texts: list[bytes]):
         k = h & np.uint64(0xFFFFFFFFFFFFFFE0)  # the low bits hold the place within the string
         for n in (1, 2, 4, 8):
             k = np.minimum(k[:-n], k[n:] + np.uint64(n))
-        k = np.minimum(k[: len(k) - 15], k[15:] + np.uint64(15))
+        k = np.minimum(k[: len(k) - (W - 16)], k[W - 16 :] + np.uint64(W - 16))
         ends = np.cumsum(np.array([len(t) for t in part], "i8"))
         p = np.arange(len(k))
         doc = np.searchsorted(ends, p, side="right")
@@ -180,14 +181,21 @@ def pass_one(buckets: int):
 
 
 def answer_one(key, rows: pd.DataFrame) -> pd.DataFrame:
-    parts = [from_six(d) for d in rows["data"]]
-    allk = np.sort(np.concatenate(parts))
-    twice = np.unique(allk[1:][allk[1:] == allk[:-1]])
-    out = []
-    for g, p in zip(rows["g"].tolist(), parts):
-        hit = p[np.isin(p, twice)]
-        if len(hit):
-            out.append((g, 1, int(key[0]), 0, six(hit)))
+    """Which hashes of one bucket more than one group has, by group."""
+    every = np.concatenate([from_six(d) for d in rows["data"]])
+    ordered = np.sort(every)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    del ordered
+    if not len(twice):
+        return pd.DataFrame([], columns=["g", "kind", "x", "idx", "data"])
+    hit = twice[np.minimum(np.searchsorted(twice, every), len(twice) - 1)] == every
+    out, at = [], 0
+    for g, d in zip(rows["g"].tolist(), rows["data"]):
+        n = len(d) // 6
+        own = every[at : at + n][hit[at : at + n]]
+        at += n
+        if len(own):
+            out.append((g, 1, int(key[0]), 0, six(own)))
     return pd.DataFrame(out, columns=["g", "kind", "x", "idx", "data"])
 
 
@@ -195,7 +203,7 @@ ENTRY = np.dtype([("cls", "<u4"), ("lo", "u1"), ("hi", "u1"), ("doc", "<i8"), ("
 MASK = np.dtype([("cls", "<u4"), ("mask", "<u4")])
 
 
-def pass_two(buckets: int):
+def pass_two(buckets: int, sort_buckets: int):
     def run(key, docs: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
         grp = Group(docs, side)
         pick, cls, first, around, ids = grp.surroundings(buckets)
@@ -203,7 +211,7 @@ def pass_two(buckets: int):
         s = pick[first]
         e["cls"], e["doc"], e["around"] = np.arange(len(first)), ids[first], around[first]
         e["lo"], e["hi"] = W - 1 - (grp.at[s] - grp.lo[s]), W - 1 - (grp.at[s] - grp.hi[s])
-        b = bucket_of(grp.h[s], buckets)
+        b = bucket_of(grp.h[s], sort_buckets)
         order = np.argsort(b, kind="stable")
         e, b = e[order], b[order]
         cuts = np.flatnonzero(np.diff(b, prepend=-1))
@@ -217,27 +225,37 @@ def answer_two(key, rows: pd.DataFrame) -> pd.DataFrame:
     """Sort the strings of one bucket; say which of them a smaller document has."""
     parts = [np.frombuffer(d, ENTRY) for d in rows["data"]]
     e = np.concatenate(parts)
-    lo, n = e["lo"].astype("i8"), e["hi"].astype("i8") - e["lo"] + 1
-    who = np.repeat(np.arange(len(e)), n)
-    off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[who]
+    lo, n = e["lo"].astype("i4"), e["hi"].astype("i4") - e["lo"] + 1
+    who = np.repeat(np.arange(len(e), dtype="i4"), n)
+    off = (np.arange(len(who)) - np.repeat(np.cumsum(n, dtype="i8") - n, n)).astype("i4") + lo[who]
     data = np.ascontiguousarray(e["around"]).ravel()
-    start = who * AROUND + off
-    h = np.concatenate([span_hashes(data[a * AROUND : z * AROUND], start[who_a:who_z] - a * AROUND, start[who_a:who_z] - a * AROUND + LENGTH) for a, z, who_a, who_z in _slices(n)]) if len(e) else np.empty(0, "u8")
-    order = np.lexsort((e["doc"][who], h))
-    new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
-    lead = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    h = np.empty(len(who), "u8")
+    for a, z, who_a, who_z in _slices(n):
+        start = (who[who_a:who_z].astype("i8") - a) * AROUND + off[who_a:who_z]
+        h[who_a:who_z] = span_hashes(data[a * AROUND : z * AROUND], start, start + LENGTH)
     strings = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
     smaller = np.zeros(len(who), bool)
-    for a in range(0, len(order), 1 << 16):
-        x, y = order[a : a + (1 << 16)], lead[a : a + (1 << 16)]
-        smaller[x] = e["doc"][who[y]] < e["doc"][who[x]]
-        other = (strings[start[x]] != strings[start[y]]).any(1)
-        if other.any():  # two strings with one hash: settle this bucket by the strings themselves
-            _, kind = np.unique(np.array([strings[i].tobytes() for i in start], f"S{LENGTH}"), return_inverse=True)
-            low = np.full(kind.max() + 1, np.iinfo("i8").max)
-            np.minimum.at(low, kind, e["doc"][who])
-            smaller = low[kind] < e["doc"][who]
-            break
+    parts_of_bucket = np.uint64(len(who) // SORTED_AT_ONCE + 1)
+    for part in range(int(parts_of_bucket)):
+        own = np.flatnonzero(h % parts_of_bucket == np.uint64(part))
+        doc, start = e["doc"][who[own]], who[own].astype("i8") * AROUND + off[own]
+        order = np.lexsort((doc, h[own]))
+        if not len(order):
+            continue
+        same = h[own][order]
+        new = np.concatenate([[True], same[1:] != same[:-1]])
+        lead = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+        less = np.zeros(len(own), bool)
+        less[order] = doc[lead] < doc[order]
+        for a in range(0, len(order), 1 << 15):
+            x, y = start[order[a : a + (1 << 15)]], start[lead[a : a + (1 << 15)]]
+            if (strings[x] != strings[y]).any():  # two strings with one hash: order them by themselves
+                _, kind = np.unique(np.array([strings[i].tobytes() for i in start], f"S{LENGTH}"), return_inverse=True)
+                low = np.full(kind.max() + 1, np.iinfo("i8").max)
+                np.minimum.at(low, kind, doc)
+                less = low[kind] < doc
+                break
+        smaller[own] = less
     mask = np.zeros(len(e), "u4")
     np.bitwise_or.at(mask, who[smaller], (np.uint32(1) << off[smaller].astype("u4")))
     out, at = [], 0
@@ -266,18 +284,21 @@ def pass_three(buckets: int, keep_text: bool):
         for d in side.loc[side["kind"] == 2, "data"]:
             m = np.frombuffer(d, MASK)
             mask[m["cls"]] |= m["mask"]
-        full = np.uint32(0x7FFFFFFF)
+        full = np.uint32(2**W - 1)
         own = np.where(ids > ids[first][cls], full, mask[cls]) if len(pick) else mask[cls]
         size = np.array([len(t) for t in grp.texts], "i8")
         base = np.cumsum(size) - size
         edge = np.zeros(int(size.sum()) + 1, "i4")
+        hit = np.flatnonzero(own)
+        own, pick = own[hit], pick[hit]
         for o in range(W):
             p = grp.at[pick] - (W - 1) + o
             ok = (own >> np.uint32(o) & np.uint32(1)).astype(bool) & (p >= grp.lo[pick]) & (p <= grp.hi[pick])
-            p = p[ok] + base[grp.doc[pick][ok]]
-            np.add.at(edge, p, 1)
-            np.add.at(edge, p + LENGTH, -1)
-        gone = np.cumsum(edge[:-1]) > 0
+            p = p[ok] + base[grp.doc[pick[ok]]]
+            edge[p] += 1  # a place begins one string, so p has no repeats; neighbours of p + LENGTH neither
+            edge[p + LENGTH] -= 1
+        gone = np.cumsum(edge[:-1], dtype="i4") > 0
+        del edge
         place = {i: k for k, i in enumerate(grp.active)}
         have = dict.fromkeys(side.loc[side["kind"] == 0, "x"].tolist())
         out = []
@@ -308,7 +329,7 @@ def remove_repeats(documents: DataFrame, keep_text: bool = False) -> DataFrame:
     known = docs.where("doc_id is not null")
     first = cut(known.groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("doc_id").alias("x"), F.max(F.octet_length("text")).cast("long").alias("n")))
     total = first.agg(F.sum("n")).first()[0] or 0
-    n = max(32, -(-total // GROUP_BYTES))  # groups, and buckets of each kind
+    n, seed_buckets, sort_buckets = (max(32, -(-total // size)) for size in (GROUP_BYTES, SEED_BUCKET_BYTES, SORT_BUCKET_BYTES))
     group = F.pmod(F.xxhash64("doc_id"), F.lit(n))
     known = known.withColumn("g", group).repartition("g")
     none = lambda t: F.lit(None).cast(t)
@@ -318,9 +339,9 @@ def remove_repeats(documents: DataFrame, keep_text: bool = False) -> DataFrame:
         return known.groupBy("g").cogroup(side.groupBy("g")).applyInPandas(f, schema)
 
     sent = "b long, g long, data binary"
-    told = lead.union(with_docs(lead, pass_one(n), sent).groupBy("b").applyInPandas(answer_one, SIDE))
-    told_more = told.union(with_docs(told, pass_two(n), sent).groupBy("b").applyInPandas(answer_two, SIDE))
-    out = with_docs(told_more, pass_three(n, keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    told = lead.union(with_docs(lead, pass_one(seed_buckets), sent).groupBy("b").applyInPandas(answer_one, SIDE))
+    told_more = told.union(with_docs(told, pass_two(seed_buckets, sort_buckets), sent).groupBy("b").applyInPandas(answer_two, SIDE))
+    out = with_docs(told_more, pass_three(seed_buckets, keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     rest = docs.where("doc_id is null").select(
         "doc_id",
         F.octet_length("text").cast("long").alias("n_bytes"),
