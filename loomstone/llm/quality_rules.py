@@ -75,7 +75,8 @@ def measure(documents: DataFrame) -> DataFrame:
         F.size("_l").cast("long").alias("n_lines"),
         capitals.cast("long").alias("n_capitals"),
     )
-    return out.withColumn("_q", measured).drop("_w", "_h", "_at", "_l")
+    # explode of one element: a boundary beyond which the optimiser does not copy these expressions
+    return out.withColumn("_q", F.explode(F.array(measured))).drop("_w", "_h", "_at", "_l")
 
 
 def base_failed(q: str = "_q") -> Column:
