@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..operators import eventlog  # noqa: F401
 from .registry import ORACLE, QUERIES, load
 
 __all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
