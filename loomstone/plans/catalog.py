@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators import eventlog, retrieval  # noqa: F401
+from ..operators import curation, eventlog, retrieval  # noqa: F401
 from .registry import ORACLE, QUERIES, load
 
 __all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
