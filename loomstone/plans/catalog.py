@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions import text  # noqa: F401
 from ..operators import curation, eventlog, retrieval  # noqa: F401
 from .registry import ORACLE, QUERIES, load
 
