@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from ..functions import text  # noqa: F401
 from ..operators import curation, eventlog, retrieval  # noqa: F401
-from .registry import ORACLE, QUERIES, load
+from ..sources import mirror  # noqa: F401
+from ..streaming import sweeps  # noqa: F401
+from .registry import ORACLE, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
 
 
 def FLAGSHIP(spark, sf_dir):
-    return load(spark, sf_dir, "documents").groupBy("lang").count()
+    """Hybrid retrieval: full text and vectors fused by reciprocal rank."""
+    return retrieval.hybrid(spark, sf_dir, ["the", "of", "and"], 1, 40)
