@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+RUN = 256
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
@@ -50,15 +53,25 @@ def spans(text: Column, pattern: str) -> Column:
         lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g")),
     )
     kind = "array<struct<s:int,e:int,m:string>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
 
-    def step(acc, x):
+    def one(acc, x):
         s = acc["at"] + x["g"]
         e = s + F.coalesce(F.length(x["m"]), F.lit(0))
-        one = F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"))).cast(kind)
-        return F.struct(e.alias("at"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
+        new = F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"))).cast(kind)
+        return F.struct(e.alias("at"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], new)).alias("out"))
+
+    def run(acc, part):  # arrays grow by copying, so they grow to RUN entries only
+        zero = F.struct(acc["at"].alias("at"), F.array().cast(kind).alias("out"))
+        done = F.aggregate(part, zero, one)
+        return F.struct(done["at"].alias("at"), F.concat(acc["out"], F.array(done["out"])).alias("out"))
+
+    def located(p):
+        parts = F.transform(F.sequence(F.lit(0), F.size(p) - 1, F.lit(RUN)), lambda c: F.slice(p, c + 1, RUN))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+        return F.flatten(F.aggregate(parts, zero, run, lambda a: a["out"]))
 
-    return F.when(F.coalesce(text.rlike(pattern), F.lit(False)), F.aggregate(pieces, zero, step, lambda a: a["out"])).otherwise(F.array().cast(kind))
+    # transform over one element names the pieces, so the patterns run once
+    return F.when(F.coalesce(text.rlike(pattern), F.lit(False)), F.get(F.transform(F.array(pieces), located), F.lit(0))).otherwise(F.array().cast(kind))
 
 
 def span_text(items: Column) -> Column:

@@ -42,7 +42,7 @@ BANDS, ROWS = 40, 5
 COMPARED = 100  # MinHash values that are compared one step after the other
 STEP, TOLERANCE = 20, 1e-5
 BLOCK = 512
-BROADCAST_ROWS = 2_000_000  # up to so many ids (16 MB) the documents to verify are found by broadcast
+BROADCAST_ROWS = 1_000_000  # up to so many ids (some 60 MB) the documents to verify are found by broadcast, beyond by shuffle
 TEXT_AT_ONCE = 1 << 18
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 31, BANDS * ROWS, "u4") * np.uint32(2) + np.uint32(1)

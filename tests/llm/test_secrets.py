@@ -40,6 +40,7 @@ CASES = [
     "password=" + "a" * 50000,
     "deadbeef" * 20000 + " x",
     "secret: " * 3000,
+    "token=abcdef " * 40000,
 ]
 
 
