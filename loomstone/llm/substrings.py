@@ -36,15 +36,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, table
-from .tokens import groups, mix, powers, span_hashes
+from .tokens import P, groups, mix, powers, span_hashes
 
 LENGTH, SEED = 50, 32
 W = LENGTH - SEED + 1  # seeds of a string
 AROUND = LENGTH + W - 1  # bytes of all strings that hold a seed
 GROUP_BYTES = 4 << 20
 SEED_BUCKET_BYTES = 32 << 20  # text whose seeds share a bucket
-SORT_BUCKET_BYTES = 8 << 20  # text whose surroundings share a bucket
-SORTED_AT_ONCE = 1 << 20  # strings
+SORT_BUCKET_BYTES = 2 << 20  # text whose surroundings share a bucket
+SORTED_AT_ONCE = 1 << 19  # strings
+ENTRIES_AT_ONCE = 1 << 15  # surroundings, and as many more as share the last seed
 CHUNK = 1 << 19
 SIDE = "g long, kind int, x long, idx long, data binary"
 
@@ -81,7 +82,8 @@ def seeds_of(texts: list[bytes]):
         new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])]))
         last = np.append(new[1:], len(p)) - 1
         begin = ends[doc[new]] - np.array([len(t) for t in part], "i8")[doc[new]]
-        out.append((h[at[new]], doc[new] + a, at[new] - begin, p[new] - begin, p[last] - begin))
+        # least hashes are small numbers; mixed again they spread evenly over the buckets
+        out.append((mix(h[at[new]] ^ P), doc[new] + a, at[new] - begin, p[new] - begin, p[last] - begin))
     if not out:
         return (np.empty(0, "u8"), *(np.empty(0, "i8") for _ in range(4)))
     return tuple(np.concatenate(x) for x in zip(*out))
@@ -221,23 +223,25 @@ def pass_two(buckets: int, sort_buckets: int):
     return run
 
 
-def answer_two(key, rows: pd.DataFrame) -> pd.DataFrame:
-    """Sort the strings of one bucket; say which of them a smaller document has."""
-    parts = [np.frombuffer(d, ENTRY) for d in rows["data"]]
-    e = np.concatenate(parts)
+def _smaller(e: np.ndarray) -> np.ndarray:
+    """For each of some surroundings, bits of the strings that a smaller document has.
+
+    The strings of one seed come together; only so many are sorted at a time, by their hashes, and
+    compared byte by byte with the first of their kind.
+    """
+    data = np.ascontiguousarray(e["around"]).ravel()
     lo, n = e["lo"].astype("i4"), e["hi"].astype("i4") - e["lo"] + 1
     who = np.repeat(np.arange(len(e), dtype="i4"), n)
     off = (np.arange(len(who)) - np.repeat(np.cumsum(n, dtype="i8") - n, n)).astype("i4") + lo[who]
-    data = np.ascontiguousarray(e["around"]).ravel()
     h = np.empty(len(who), "u8")
     for a, z, who_a, who_z in _slices(n):
         start = (who[who_a:who_z].astype("i8") - a) * AROUND + off[who_a:who_z]
         h[who_a:who_z] = span_hashes(data[a * AROUND : z * AROUND], start, start + LENGTH)
     strings = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
     smaller = np.zeros(len(who), bool)
-    parts_of_bucket = np.uint64(len(who) // SORTED_AT_ONCE + 1)
-    for part in range(int(parts_of_bucket)):
-        own = np.flatnonzero(h % parts_of_bucket == np.uint64(part))
+    parts = np.uint64(len(who) // SORTED_AT_ONCE + 1)
+    for part in range(int(parts)):
+        own = np.flatnonzero(h % parts == np.uint64(part)) if parts > 1 else np.arange(len(h))
         doc, start = e["doc"][who[own]], who[own].astype("i8") * AROUND + off[own]
         order = np.lexsort((doc, h[own]))
         if not len(order):
@@ -258,12 +262,33 @@ def answer_two(key, rows: pd.DataFrame) -> pd.DataFrame:
         smaller[own] = less
     mask = np.zeros(len(e), "u4")
     np.bitwise_or.at(mask, who[smaller], (np.uint32(1) << off[smaller].astype("u4")))
+    return mask
+
+
+def answer_two(key, rows: pd.DataFrame) -> pd.DataFrame:
+    """Sort the strings of one bucket, a run of seeds at a time; say which of them a smaller document has."""
+    e = np.frombuffer(b"".join(rows["data"]), ENTRY)
+    seed = np.empty(len(e), "u8")
+    for a in range(0, len(e), 1 << 14):
+        around = e["around"][a : a + (1 << 14)]
+        start = np.arange(len(around)) * AROUND + W - 1
+        seed[a : a + len(around)] = span_hashes(np.ascontiguousarray(around).ravel(), start, start + SEED)
+    order = np.argsort(seed, kind="stable")
+    seed = seed[order]
+    mask = np.zeros(len(e), "u4")
+    at = 0
+    while at < len(e):
+        end = min(len(e), at + ENTRIES_AT_ONCE)
+        end = int(np.searchsorted(seed, seed[end - 1], side="right"))
+        mask[order[at:end]] = _smaller(e[order[at:end]])
+        at = end
     out, at = [], 0
-    for g, p in zip(rows["g"].tolist(), parts):
-        m = np.empty(len(p), MASK)
-        m["cls"], m["mask"] = p["cls"], mask[at : at + len(p)]
+    for g, d in zip(rows["g"].tolist(), rows["data"]):
+        n = len(d) // ENTRY.itemsize
+        m = np.empty(n, MASK)
+        m["cls"], m["mask"] = e["cls"][at : at + n], mask[at : at + n]
         m = m[m["mask"] > 0]
-        at += len(p)
+        at += n
         if len(m):
             out.append((g, 2, 0, 0, m.tobytes()))
     return pd.DataFrame(out, columns=["g", "kind", "x", "idx", "data"])
