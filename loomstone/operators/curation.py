@@ -46,12 +46,11 @@ def identifier_join(left: DataFrame, right: DataFrame, key: str, entity: str) ->
 def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """``node, hops`` of all nodes within ``depth`` undirected hops of the seeds (column ``node``)."""
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
-    seen = seeds.select("node").distinct().withColumn("hops", F.lit(0))
-    frontier = seen
+    seen = frontier = checkpointed(seeds.select("node").distinct().withColumn("hops", F.lit(0)))
     for hop in range(1, depth + 1):
         new = both.join(frontier.select(F.col("node").alias("a")), "a").select(F.col("b").alias("node")).distinct()
         frontier = checkpointed(new.join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(hop)))
-        seen = checkpointed(seen.union(frontier))
+        seen = seen.union(frontier)  # of written parts: nothing is computed again
     return seen
 
 
@@ -69,12 +68,11 @@ def roots(links: DataFrame, most: int = 64) -> DataFrame:
 
 def cascade(edges: DataFrame, retracted: DataFrame) -> DataFrame:
     """All dependents of retracted nodes (``belief`` rests on ``support``), to the fixpoint."""
-    gone = checkpointed(retracted.select("node").distinct())
-    frontier = gone
-    while frontier.limit(1).count():
+    gone = frontier = checkpointed(retracted.select("node").distinct())
+    while frontier.count():
         new = edges.join(frontier, F.col("support") == F.col("node"), "left_semi").select(F.col("belief").alias("node")).distinct()
         frontier = checkpointed(new.join(gone, "node", "left_anti"))
-        gone = checkpointed(gone.union(frontier))
+        gone = gone.union(frontier)  # of written parts: nothing is computed again
     return gone
 
 
