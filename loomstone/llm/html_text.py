@@ -41,8 +41,10 @@ NAMES = frozenset(
     "ad ads adv advert adverts advertisement adsense adslot banner sponsor sponsored promo promotion sidebar widget menu nav navbar "
     "navigation breadcrumb breadcrumbs header masthead footer comment comments reply replies disqus respond cookie cookies consent gdpr "
     "notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
-    "pagination pager toolbar navigation contentinfo complementary search dialog alertdialog hidden".split()
+    "pagination pager toolbar navigation contentinfo complementary search dialog alertdialog".split()
 )
+#: Names of what belongs to readers or to other pages.
+OTHERS = frozenset("comment comments reply replies disqus respond related recommended".split())
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*+>?"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>?",
@@ -51,30 +53,39 @@ TOKEN = re.compile(
 ATTR = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
-def _unwanted(attrs: str) -> bool:
+def _unwanted(attrs: str) -> int:
+    """2: hidden, or named after comments or other pages; 1: named after another kind of boilerplate; 0: wanted."""
+    out = 0
     for name, a, b, c in ATTR.findall(attrs):
         value, name = (a or b or c).lower(), name.lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return 2
         if name == "style":
             if re.search(r"display\s*:\s*none", value):
-                return True
-        elif not NAMES.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
-    return False
+                return 2
+        elif "hidden" in value.split():
+            return 2
+        else:
+            parts = re.split(r"[^a-z]+", value)
+            out = max(out, 2 * (not OTHERS.isdisjoint(parts)), not NAMES.isdisjoint(parts))
+    return out
 
 
 def blocks(page: str) -> Iterator[tuple[str, int, int, int, bool]]:
-    """``(text, characters in links, region, articles around, unwanted)`` of each block in page order."""
-    stack: list[tuple[str, bool]] = []  # open holders, and whether each is unwanted
+    """``(text, characters in links, region, articles around, unwanted)`` of each block in page order.
+
+    An article or main element within a holder that is only named like boilerplate (such as
+    "has-sidebar") is judged by what it holds itself.
+    """
+    stack: list[tuple[str, int, int]] = []  # open holders, how unwanted each is, and ``base`` before it
     parts: list[tuple[str, bool]] = []
-    bad = articles = region = links = at = 0
+    soft = hard = base = articles = region = links = at = 0
 
     def block():
         text = " ".join(html.unescape("".join(p for p, _ in parts)).split())
         linked = sum(len(" ".join(html.unescape(p).split())) for p, x in parts if x)
         parts.clear()
-        return (text, linked, region, articles, bad > 0) if text else None
+        return (text, linked, region, articles, hard > 0 or soft > base) if text else None
 
     for m in TOKEN.finditer(page):
         if m.start() > at:
@@ -96,20 +107,27 @@ def blocks(page: str) -> Iterator[tuple[str, int, int, int, bool]]:
         if tag not in HOLDERS:
             continue
         if not closing:
-            whole = tag in ("html", "body", "article", "main")
-            off = tag in NEVER or (tag == "header" and not articles) or (_unwanted(m[4]) and not (whole and tag != "article"))
             if m[4].endswith("/") and tag in ("svg", "iframe", "object"):
                 continue
-            stack.append((tag, off))
-            bad += off
+            named = _unwanted(m[4])
+            if tag in NEVER or (tag == "header" and not articles):
+                off = 2
+            elif tag in ("html", "body", "main") or (tag == "article" and not articles):
+                off = named if tag == "article" and named == 2 else 0
+            else:
+                off = named
+            stack.append((tag, off, base))
+            soft, hard = soft + (off == 1), hard + (off == 2)
             if tag in ("article", "main"):
                 articles, region = articles + 1, region + 1
-        elif any(t == tag for t, _ in stack):
+                base = soft - (off == 1)
+        elif any(t == tag for t, _, _ in stack):
             while True:
-                t, off = stack.pop()
-                bad -= off
+                t, off, was = stack.pop()
+                soft, hard = soft - (off == 1), hard - (off == 2)
                 if t in ("article", "main"):
                     articles, region = articles - 1, region + 1
+                    base = was
                 if t == tag:
                     break
     parts.append((page[at:], links > 0))

@@ -26,6 +26,13 @@ def test_page_without_article():
     assert main_text(src) == f"{LONG}\n\nShort one.\n\n{LONG}"
 
 
+def test_names_of_wrappers():
+    src = page(f"<div class='page has-sidebar'><article class='post share'><p>{LONG}</p><div class='share'>{LONG}</div></article><div class='sidebar'>{LONG}</div></div>")
+    assert main_text(src) == LONG
+    src = page(f"<main><p>{LONG}</p></main><div id='comments'><article><p>{LONG}</p></article></div>")
+    assert main_text(src) == LONG
+
+
 def test_odd_pages():
     assert main_text(None) == "" and main_text("") == "" and main_text("<p") == ""
     assert main_text("<article>a &am b &amp c</article>") == "a &am b & c"
