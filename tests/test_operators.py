@@ -87,3 +87,26 @@ def test_guarded_sql(spark):
     for bad in ("DROP TABLE x", "INSERT INTO x VALUES (1)", "CREATE TABLE y AS SELECT 1"):
         with pytest.raises(ValueError):
             mirror.read_only_sql(spark, bad)
+
+
+def test_read_and_answer_matches_brute_force(spark, sf):
+    import math
+    import re
+
+    from loomstone.operators.answering import t8
+
+    words = ["with", "for", "that"]
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    tok = {d: re.findall(retrieval.WORD, t.lower()) for d, t in docs.items()}
+    n, avg = len(tok), sum(map(len, tok.values())) / len(tok)
+    df = {w: sum(w in x for x in tok.values()) for w in words}
+    score = {
+        d: round(sum(math.log((n - df[w] + 0.5) / (df[w] + 0.5) + 1) * x.count(w) * 2.2 / (x.count(w) + 1.2 * (0.25 + 0.75 * len(x) / avg)) for w in words), 6)
+        for d, x in tok.items()
+    }
+    best = sorted((d for d in score if score[d] > 0), key=lambda d: (-score[d], d))[:10]
+    want = []
+    for k, d in enumerate(best):
+        hit = [s for s in re.split(r"(?<=[.!?])\s+", docs[d]) if re.search("|".join(words), s.lower())]
+        want.append((d, k + 1, (hit[0] if hit else docs[d].split("\n")[0])[:200]))
+    assert sorted((r.doc_id, r.rank, r.answer) for r in t8(spark, sf).collect()) == sorted(want)
