@@ -6,7 +6,8 @@ hypothesis that the run is written text against the alternative that it is drawn
 
 * chi-squared statistic of its symbols against the encoding's alphabet.  Text concentrates on few
   symbols, so under the hypothesis the statistic is large; how large follows from its length;
-* runs test: the number of changes between letters of either case and digits, which is small in text;
+* runs test: the number of changes between letters of either case and digits, which is small in text
+  (in runs without a digit, separators and the capitals of camel-case names are no changes);
 * serial correlation of neighbouring symbols, which rules out counters and keyboard rows.
 
 The p-values are combined (Bonferroni over the two tests), and discoveries are made by the
@@ -30,7 +31,8 @@ ASSIGN = r"""(?i)(?=[pstak])(?:password|passwd|secret|token|api_?key)["']?\x20*[
 ASSIGN_HEAD = r"""(?i)^(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"(?:(?<![0-9a-f])|\G)[0-9a-f]{24,}+"
-RUN = r"(?:(?<![A-Za-z0-9+/_=-])|\G)[A-Za-z0-9+/_-]{20,}+={0,2}"
+RUN = r"(?:(?<![A-Za-z0-9+/_-])|\G)[A-Za-z0-9+/_-]{20,}+={0,2}"  # '=' ends a run but may stand before one: name=value
+WORD = r"[A-Z]?[a-z]{2,}+|(?<![A-Za-z])[A-Za-z][a-z]*+(?![A-Za-z])"  # a word of written text, or a hump of a camel-case name
 KINDS = ("assign", "access", "hex")
 
 BINS, STEP = 400, 0.1  # bins of -log10(p): 0 to 40
@@ -68,7 +70,11 @@ def _battery(m: Column) -> Column:
     mean0 = (n + pairs * k2) * size / n - n
     sd0 = F.sqrt(2 * pairs * k2 * (1 - k2) + 4 * pairs * F.greatest(n - 2, F.lit(0.0)) * (k3 - k2 * k2)) * size / n
     p_chi = _upper_tail((mean0 - chi) / sd0)
-    classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(m, "[a-z]", "l"), "[A-Z]", "u"), "[^lu]", "d")
+    # Without digits, separators stand between words and capitals begin them: neither is a change.
+    letters = F.regexp_replace(m, "[^A-Za-z]", "")
+    letters = F.when(F.regexp_replace(m, WORD, "").rlike("[A-Za-z]"), letters).otherwise(F.lower(letters))
+    symbols = F.when(m.rlike("[0-9]"), m).otherwise(letters)
+    classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(symbols, "[a-z]", "l"), "[A-Z]", "u"), "[^lu]", "d")
     changes = F.length(F.regexp_replace(classes, r"(l+|u+|d+)", "x")) - 1
     rate = 0.12  # changes a symbol in names and file names
     p_runs = _upper_tail((changes - 0.5 - (n - 1) * rate) / F.sqrt((n - 1) * rate * (1 - rate)))
@@ -107,8 +113,8 @@ def find_secrets(documents: DataFrame, fdr: float = 0.01) -> DataFrame:
     )
     assign = F.filter("a", lambda x: F.length(F.regexp_replace(x["m"], ASSIGN_HEAD, "")) >= 6)
     base = F.array_sort(F.concat(named(assign, 0), named(F.col("b"), 1), named(F.col("c"), 2)))
-    mixed = F.filter("r", lambda x: x["m"].rlike("[0-9]") & x["m"].rlike("[A-Za-z]"))
-    found = found.select("doc_id", base.alias("base"), mixed.alias("r"))
+    lettered = F.filter("r", lambda x: x["m"].rlike("[A-Za-z]"))
+    found = found.select("doc_id", base.alias("base"), lettered.alias("r"))
     free = F.filter("r", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
     tested = F.transform(free, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), _battery(x["m"]).alias("t")))
     found = cut(found.select("doc_id", "base", tested.alias("r")))
