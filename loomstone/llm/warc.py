@@ -6,8 +6,9 @@ response; the others become revisit records that hold its id and the HTTP header
 
 The salvage reader checks every record (gzip trailer, version line, header block, content length,
 end of record, block and payload digests).  After a failed check it looks for the next member or
-version line from which a whole valid record can be read, goes on there, and reports the bytes in
-between as a quarantined gap.  It holds one record at a time.
+version line from which a whole valid record can be read, in the inflated bytes of a member as long
+as it inflates, goes on there, and reports the bytes in between as a quarantined gap.  It holds one
+record at a time.  ``round_trip`` fails if an archive gives another number of records than were written.
 
 Null html is the empty payload.  Pages without page_id keep null and are never the response of a
 group that has ids.  Repeated page_ids are kept: one record for one row; a repeat of the response
@@ -35,6 +36,7 @@ VERSION = re.compile(rb"WARC/\d\.\d\r?\n")
 MAGIC = b"\x1f\x8b\x08"
 ARCHIVE_BYTES = 32 << 20
 CHUNK = 1 << 20
+STEP = 1 << 14  # compressed bytes that are inflated at once
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -78,35 +80,81 @@ class Damaged(Exception):
 
 
 class _Source:
-    """Bytes from a position on, of a file or of a gzip member in it."""
+    """Bytes from a position on, of a file or of a gzip member in it; ``save`` and ``load`` go back in them."""
 
     def __init__(self, f, at: int):
         self.f, self.at, self.buf, self.z = f, at, b"", None
-        f.seek(at)
-        start = f.read(3)
-        self.f.seek(at)
-        if start == MAGIC:
-            self.z = zlib.decompressobj(31)
+        self.pos, self.base, self.chunk = at, at, b""  # next byte to take; the bytes of the file that are at hand
+        self.tail, self.out, self.bad, self.mark = b"", 0, "", None
         self.raw = 0  # bytes of the file that were used up
+        if self._take(3) == MAGIC:
+            self.z = zlib.decompressobj(31)
+        self.pos = at
+
+    def save(self) -> tuple:
+        return self.buf, self.z and self.z.copy(), self.pos, self.tail, self.out, self.bad, self.mark, self.raw
+
+    def load(self, state: tuple) -> None:
+        self.buf, z, self.pos, self.tail, self.out, self.bad, self.mark, self.raw = state
+        self.z = z and z.copy()
+
+    def _take(self, n: int) -> bytes:
+        if not self.base <= self.pos < self.base + len(self.chunk):
+            self.f.seek(self.pos)
+            self.base, self.chunk = self.pos, self.f.read(CHUNK)
+        data = self.chunk[self.pos - self.base : self.pos - self.base + n]
+        self.pos += len(data)
+        return data
 
     def more(self) -> bool:
-        if self.z is not None and self.z.eof:
-            return False
-        data = self.f.read(CHUNK)
-        if not data:
-            if self.z is not None:
-                raise Damaged("the gzip member has no end")
-            return False
         if self.z is None:
+            data = self._take(CHUNK)
             self.buf += data
-        else:
-            try:
-                self.buf += self.z.decompress(data)
-            except zlib.error as e:
-                raise Damaged(f"gzip: {e}") from None
-            self.raw += len(data) - len(self.z.unused_data)
+            return bool(data)
+        if self.bad:
+            raise Damaged(self.bad)
+        if self.z.eof:
+            return False
+        piece = self.tail or self._take(STEP)
+        self.mark = self.z.copy(), self.out, self.pos - len(piece), piece
+        try:
+            data = self.z.decompress(piece, 4 * STEP)
+            self.tail = b"" if self.z.eof else self.z.unconsumed_tail
+        except zlib.error as e:  # what comes before the damage counts
+            data, self.bad = b"".join(d for _, d in self._slowly()), f"gzip: {e}"
+        if not data and not self.bad and not piece:
+            self.bad = "the gzip member has no end"
+        if not data and self.bad:
+            raise Damaged(self.bad)
+        self.buf += data
+        self.out += len(data)
+        self.raw = self.pos - len(self.tail) - len(self.z.unused_data) - self.at
         return True
 
+    def _slowly(self) -> Iterator[tuple[int, bytes]]:
+        """The last step byte by byte: place in the file and what it inflates to."""
+        z, _, place, piece = self.mark
+        z = z.copy()
+        try:
+            for i in range(len(piece)):
+                yield place + i, z.decompress(piece[i : i + 1])
+        except zlib.error:
+            return
+
+    def place(self) -> int:
+        """Where in the file the next byte comes from."""
+        at = self.out - len(self.buf)
+        if self.z is None or self.mark is None or not at:
+            return self.at + (self.raw if self.z is None else 0)
+        if not self.buf:
+            return self.at + self.raw
+        have = self.mark[1]
+        for place, data in self._slowly():
+            have += len(data)
+            if have > at:
+                return place
+        return self.at + self.raw
+
     def need(self, n: int) -> bytes:
         parts, have = [self.buf], len(self.buf)
         while have < n:
@@ -173,45 +221,122 @@ def _starts(f, at: int, size: int) -> Iterator[int]:
         at += len(data)
 
 
+def _next(src: _Source) -> tuple[int, dict] | None:
+    """The next valid record after the next byte, and where it begins; None at the end of the bytes."""
+    if not src.buf and not src.more():
+        return None
+    src.buf = src.buf[1:]
+    while True:
+        if (m := VERSION.search(src.buf)) is None:
+            src.buf = src.buf[-10:]
+            if not src.more():
+                return None
+            continue
+        src.buf = src.buf[m.start() :]
+        state = src.save()
+        try:
+            rec = _one(src)
+        except Damaged:
+            src.load(state)
+            src.buf = src.buf[1:]
+            continue
+        after = src.save()
+        src.load(state)
+        at = src.place()
+        src.load(after)
+        return at, rec
+
+
+def _member(src: _Source) -> Iterator[tuple[str, object]]:
+    """Records and gaps of a gzip member, then ``("end", place)``, or ``("broken", (place, reason))``
+    where it can't be inflated any further.  Its only record counts if the member's trailer is right."""
+    only, n = None, 0
+    while True:
+        try:
+            if not src.buf:
+                if not src.more():
+                    break
+                continue
+        except Damaged as e:
+            yield "broken", (src.at if only else src.place(), str(e))
+            return
+        if only:
+            yield "record", only
+            only = None
+        state = src.save()
+        try:
+            rec = _one(src)
+        except Damaged as e:
+            reason = f"{e} (after {n} good records of the member)" if n else str(e)
+        else:
+            n += 1
+            if n == 1:
+                only = rec
+            else:
+                yield "record", rec
+            continue
+        src.load(state)
+        start = src.place()
+        try:
+            found = _next(src)
+        except Damaged:
+            yield "broken", (start, reason)
+            return
+        if found is None:
+            yield "gap", (start, src.at + src.raw, reason)
+            break
+        yield "gap", (start, found[0], reason)
+        yield "record", found[1]
+        n += 1
+    if only:
+        yield "record", only
+    yield "end", src.at + src.raw
+
+
+def _begins(f, at: int) -> bool:
+    """Whether a valid record can be read from here, or from within the member that begins here."""
+    src = _Source(f, at)
+    state = src.save()
+    try:
+        _one(src)
+        return True
+    except Damaged:
+        if src.z is None:
+            return False
+    src.load(state)
+    try:
+        return _next(src) is not None
+    except Damaged:
+        return False
+
+
 def salvage(f, size: int) -> Iterator[tuple[str, object]]:
-    """``("record", dict)`` and ``("gap", (start, end, reason))`` of an archive, in order of place."""
+    """``("record", dict)`` and ``("gap", (start, end, reason))`` of an archive, in order of place.
+
+    A gap within a gzip member goes from the byte that the failed record begins in to the one that the
+    next valid record begins in.
+    """
     at = 0
     while at < size:
-        reason, good = None, 0
-        try:
-            src = _Source(f, at)
-            if src.z is None:
+        src = _Source(f, at)
+        if src.z is None:
+            try:
                 rec = _one(src)
                 at += src.raw
                 yield "record", rec
                 continue
-            pending = []
-            while True:
-                if not src.buf and not src.more():
-                    break
-                if not src.buf:
-                    continue
-                pending.append(_one(src))
-                if len(pending) > 1:  # a member with many records: hand on what is checked
-                    yield "record", pending.pop(0)
-                    good += 1
-            yield from (("record", r) for r in pending)
-            at += src.raw
-            continue
-        except Damaged as e:
-            reason = str(e)
-            if good:
-                reason += f" (after {good} good records of the member)"
-        nxt = size
-        for p in _starts(f, at + 1, size):
-            try:
-                src = _Source(f, p)
-                _one(src)
-                nxt = p
-                break
-            except Damaged:
+            except Damaged as e:
+                start, reason = at, str(e)
+        else:
+            for kind, x in _member(src):
+                if kind in ("record", "gap"):
+                    yield kind, x
+            if kind == "end":
+                at = x
                 continue
-        yield "gap", (at, nxt, reason)
+            start, reason = x
+        nxt = next((p for p in _starts(f, max(at + 1, start), size) if _begins(f, p)), size)
+        yield "gap", (start, nxt, reason)
         at = nxt
 
 
@@ -263,6 +388,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, archive_bytes:
 
 def read_archives(paths: DataFrame, folder: str) -> DataFrame:
     """Records and gaps of the archives in column ``path`` (paths within the file system of ``folder``).
+    With a column ``records``, an archive that gives another number of records fails the job.
 
     ``path, page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload`` and, for a
     quarantined gap, ``gap_start, gap_end, reason`` with record_type ``gap``.
@@ -277,13 +403,14 @@ def read_archives(paths: DataFrame, folder: str) -> DataFrame:
             return pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in ("page_id", "payload_bytes", "refers_to", "gap_start", "gap_end")})
 
         for batch in batches:
-            for path in batch["path"]:
-                rows, held = [], 0
+            for path, want in zip(batch["path"], batch["records"] if "records" in batch else [None] * len(batch)):
+                rows, held, n = [], 0, 0
                 with fs.open_input_file(path) as f:
                     for kind, x in salvage(f, f.size()):
                         if kind == "gap":
                             rows.append((path, None, None, None, None, "gap", None, None, *x))
                             continue
+                        n += 1
                         h = x["fields"]
                         to = re.fullmatch(r"<urn:page:(-?\d+)>", h.get("warc-refers-to", ""))
                         page_id = h.get("page-id")
@@ -293,9 +420,11 @@ def read_archives(paths: DataFrame, folder: str) -> DataFrame:
                         if held > 8 << 20 or len(rows) >= 2000:
                             yield frame(rows)
                             rows, held = [], 0
+                if want is not None and n != want:
+                    raise ValueError(f"{path}: {n} records read, {want} written")
                 yield frame(rows)
 
-    return paths.select("path").mapInPandas(run, schema)
+    return paths.select("path", *(["records"] if "records" in paths.columns else [])).mapInPandas(run, schema)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, least: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -303,7 +432,7 @@ def round_trip(spark: SparkSession, pages: DataFrame, least: int = 0, archive_by
     folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     written = write_archives(pages, folder, least, archive_bytes)
     n = max(1, min(written.count(), 10_000))
-    return read_archives(written.select("path").repartition(n), folder)
+    return read_archives(written.select("path", "records").repartition(n), folder)
 
 
 def op10_warc(spark, sf_dir) -> DataFrame:

@@ -1,6 +1,9 @@
 import io
+import random
 import zlib
 
+import pytest
+
 from loomstone.llm import warc as W
 
 SCHEMA = "page_id long, url string, html string, path string"
@@ -75,3 +78,31 @@ def test_salvage_of_plain_records_and_of_a_member_with_many():
     wrong = parts[1].replace(b"hello", b"jello")
     assert read(parts[0] + wrong + b"".join(parts[2:])) == ([0, 2, 3, 4], [(at[1], at[2])])
     assert read(gz(b"".join(parts)) + gz(make(7))) == ([0, 1, 2, 3, 4, 7], [])
+
+
+def test_salvage_within_a_member_with_many():
+    parts = [make(i, random.Random(i).randbytes(9000).hex().encode()) for i in range(6)]
+    wrong = parts[2][:-40] + b"?" + parts[2][-39:]  # only its digest fails
+    whole = gz(b"".join(parts[:2]) + wrong + b"".join(parts[3:]))
+    ids, gaps = read(whole + gz(make(7)))
+    assert ids == [0, 1, 3, 4, 5, 7] and len(gaps) == 1
+    before = gz(b"".join(parts[:2]))
+    after = gz(b"".join(parts[:2]) + wrong)
+    assert abs(gaps[0][0] - len(before)) < 200 and abs(gaps[0][1] - len(after)) < 200
+    assert read(gz(wrong + parts[3]) + gz(make(7)))[0] == [3, 7]
+    assert read(gz(parts[0] + wrong) + gz(make(7)))[0] == [0, 7]
+    assert read(b"junk" + gz(wrong + parts[3]))[0] == [3]
+    # the stream itself breaks: what comes before stays, the next member is found
+    torn = bytearray(gz(b"".join(parts)))
+    torn[len(before) + 3000 :] = b""
+    ids, gaps = read(bytes(torn) + gz(make(7)))
+    assert ids == [0, 1, 7] and len(gaps) == 1
+    assert abs(gaps[0][0] - len(before)) < 200 and gaps[0][1] == len(torn)
+
+
+def test_count_of_records_is_compared(spark, tmp_path):
+    (tmp_path / "a").write_bytes(gz(make(0)) + gz(make(1))[:-9])
+    df = spark.createDataFrame([(f"{tmp_path}/a", 2)], "path string, records long")
+    with pytest.raises(Exception, match="1 records read, 2 written"):
+        W.read_archives(df, str(tmp_path)).collect()
+    assert W.read_archives(df.drop("records"), str(tmp_path)).where("record_type <> 'gap'").count() == 1
