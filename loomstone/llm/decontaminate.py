@@ -3,9 +3,9 @@
 Words are lowered and hashed.  Each fixed mask selects some positions of a window of words and
 ignores the others, so a window still matches when ignored words were changed.  The hashes of the
 benchmark's windows are joined with those of the documents; around each hit the item is laid against
-the document without gaps, and the best-scoring stretch (a match counts 1, a substitution -2) is a
-contamination if it covers ``least_words`` words (or the whole of a shorter item) of which
-``least_share`` agree.
+the document without gaps.  The longest stretch that begins and ends with an agreeing word and of which
+``least_share`` agree, or the whole overlap if that much of it agrees, is a contamination if it covers
+``least_words`` words (or the whole of a shorter item).
 
 The benchmark's hashes go to every task in blocks of at most ``block_windows`` windows, which bounds
 what is sent; a larger benchmark takes one pass over the documents for each block.
@@ -48,6 +48,19 @@ def window_hashes(h: np.ndarray, text: np.ndarray, mask: str) -> tuple[np.ndarra
     return mix(out[at]), at
 
 
+def longest(same: np.ndarray, least_share: float) -> tuple[int, int]:
+    """Start and end of the longest stretch from one agreeing word to another of which the share agrees."""
+    at = np.flatnonzero(same)
+    if not len(at):
+        return 0, 0
+    # words that agree less those that must, before and after each agreeing word
+    before = np.arange(len(at)) - least_share * at
+    after = before + 1 - least_share
+    first = np.searchsorted(-np.minimum.accumulate(before), -after - 1e-9)
+    k = int(np.argmax(at - at[first]))
+    return int(at[first[k]]), int(at[k]) + 1
+
+
 class Index:
     """Window hashes of a block of benchmark items."""
 
@@ -94,16 +107,12 @@ class Index:
             a, b = int(self.first[i]), int(self.first[i + 1])
             lo, hi = max(a + shift, int(first[t])), min(b + shift, int(first[t + 1]))
             same = h[lo:hi] == self.words[lo - shift : hi - shift]
-            score = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
-            low = np.minimum.accumulate(score)
-            e = int(np.argmax(score - low))
-            s = int(np.argmax(score[: e + 1] == low[e]))
-            # the stretch, widened while the share of agreeing words stays high enough
-            total = int(same.sum())
-            if total >= least_share * len(same) and len(same) > e - s:
+            if same.sum() >= least_share * len(same):
                 s, e = 0, len(same)
+            else:
+                s, e = longest(same, least_share)
             n, m = e - s, int(same[s:e].sum())
-            if n >= min(least_words, b - a) and m >= least_share * n and m > best.get((t, i), (0, 0, 0))[2]:
+            if n >= min(least_words, b - a) and m >= least_share * n - 1e-9 and m > best.get((t, i), (0, 0, 0))[2]:
                 best[t, i] = (lo + s - int(first[t]), n, m)
         return [(t, i, *v) for (t, i), v in best.items()]
 

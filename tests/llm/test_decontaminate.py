@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from loomstone.llm import decontaminate as D
 
 DOCS, ITEMS = "doc_id long, text string, item_id string", "item_id long, text string, doc_id string"
@@ -68,6 +70,38 @@ def test_finds_what_brute_force_finds(spark):
     assert left == {x for x, _ in docs} - {x for x, _ in got}
 
 
+def every_stretch(same, share):
+    """The greatest length of a stretch between agreeing words of which the share agrees."""
+    at = [k for k, x in enumerate(same) if x]
+    return max((e - s + 1 for s in at for e in at if e >= s and sum(same[s : e + 1]) >= share * (e - s + 1)), default=0)
+
+
+def test_longest_stretch_is_the_brute_force_one():
+    rnd = random.Random(8)
+    for _ in range(500):
+        same = [rnd.random() < rnd.choice([0.5, 0.7, 0.8]) for _ in range(rnd.randint(1, 40))]
+        s, e = D.longest(np.array(same), 0.75)
+        assert e - s == every_stretch(same, 0.75) and (s == e or same[s] and same[e - 1])
+
+
+def test_finds_partial_quotations_with_clustered_changes(spark):
+    rnd = random.Random(9)
+    items = [(k, " ".join(f"v{k}x{n}" for n in range(40)), None) for k in range(30)]
+    docs, want = [], set()
+    for k, text, _ in items:
+        w = text.split()[k % 20 : k % 20 + 20]
+        c = rnd.randint(8, 9)
+        w[c : c + 4] = ["changed"] * 4  # 16 of 20 agree
+        docs.append((k, "some words before it " + " ".join(w) + " and some after it", None))
+        want.add((k, k))
+        docs.append((100 + k, "only nine words " + " ".join(text.split()[5:14]) + " of the item", None))
+    d, b = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    found = D.find(d, b).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == want
+    assert all((r.first_word, r.n_words, r.n_same) == (4, 20, 16) for r in found)
+    assert {r.doc_id for r in D.drop(d, b).collect()} == {100 + k for k in range(30)}
+
+
 def test_blocks_give_the_same(spark):
     docs, items = make(4)
     d, b = spark.createDataFrame([(*x, "y") for x in docs], DOCS), spark.createDataFrame([(*x, "y") for x in items], ITEMS)
