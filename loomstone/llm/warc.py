@@ -25,7 +25,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +37,11 @@ MAGIC = b"\x1f\x8b\x08"
 ARCHIVE_BYTES = 32 << 20
 CHUNK = 1 << 20
 STEP = 1 << 14  # compressed bytes that are inflated at once
+WRITTEN = pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
+READ = pa.schema(
+    [("path", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string())]
+    + [("refers_to", pa.int64()), ("payload", pa.binary()), ("gap_start", pa.int64()), ("gap_end", pa.int64()), ("reason", pa.string())]
+)
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -169,19 +174,22 @@ class _Source:
             self.raw += n
         return out
 
-    def until(self, mark: bytes, most: int = 1 << 16) -> bytes:
-        while (i := self.buf.find(mark)) < 0:
-            if len(self.buf) > most:
-                raise Damaged("the header has no end")
+    def until(self, mark: bytes) -> bytes:
+        """Bytes up to a mark; a header may have any length."""
+        seen = 0
+        while (i := self.buf.find(mark, max(0, seen - len(mark)))) < 0:
+            seen = len(self.buf)
             if not self.more():
                 raise Damaged("the record is cut off")
         return self.need(i + len(mark))
 
 
 def _one(src: _Source) -> dict:
-    head = src.until(b"\r\n\r\n")
-    if not VERSION.match(head):
+    while len(src.buf) < 10 and src.more():
+        pass
+    if not VERSION.match(src.buf):
         raise Damaged("no version line")
+    head = src.until(b"\r\n\r\n")
     fields = {}
     for line in head.split(b"\r\n")[1:]:
         name, sep, value = line.partition(b":")
@@ -355,20 +363,19 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, archive_bytes:
         .where("n > 1 and first is not null")
         .drop("n")
     )
-    rows = rows.join(first, "sha", "left")
+    to = F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))  # decided here: null for what is no revisit
+    rows = rows.join(first, "sha", "left").select("sha", "page_id", "url", "payload", to.alias("refers_to"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = file_system(folder)
         out, path, n, size = None, "", 0, 0
         done = []
         for batch in batches:
-            for sha, page_id, url, payload, to in zip(batch["sha"], batch["page_id"], batch["url"], batch["payload"], batch["first"]):
+            for sha, page_id, url, payload, to in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
                     path, n, size = f"{base}/{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = fs.open_output_stream(path, compression=None)
-                page_id = None if pd.isna(page_id) else int(page_id)
-                revisit = not pd.isna(to) and page_id != int(to)
-                raw = record(page_id, url, payload, base64.b32encode(bytes.fromhex(sha)).decode(), int(to) if revisit else None, revisit)
+                raw = record(page_id, url, payload, base64.b32encode(bytes.fromhex(sha)).decode(), to, to is not None)
                 z = zlib.compressobj(5, zlib.DEFLATED, 31)
                 data = z.compress(raw) + z.flush()
                 out.write(data)
@@ -380,10 +387,10 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, archive_bytes:
         if out is not None:
             out.close()
             done.append((path, n, size))
-        yield pd.DataFrame(done, columns=["path", "records", "bytes"])
+        yield pa.RecordBatch.from_pydict(dict(zip(WRITTEN.names, zip(*done) if done else ([], [], []))), WRITTEN)
 
     file_system(folder)[0].create_dir(file_system(folder)[1], recursive=True)
-    return cut(rows.mapInPandas(run, "path string, records long, bytes long"))
+    return cut(rows.mapInArrow(run, "path string, records long, bytes long"))
 
 
 def read_archives(paths: DataFrame, folder: str) -> DataFrame:
@@ -393,17 +400,16 @@ def read_archives(paths: DataFrame, folder: str) -> DataFrame:
     ``path, page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload`` and, for a
     quarantined gap, ``gap_start, gap_end, reason`` with record_type ``gap``.
     """
-    schema = "path string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, gap_start long, gap_end long, reason string"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs, _ = file_system(folder)
-        names = [c.split()[0] for c in schema.split(", ")]
-
-        def frame(rows):
-            return pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in ("page_id", "payload_bytes", "refers_to", "gap_start", "gap_end")})
+    def frame(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows) if rows else [[] for _ in READ.names]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, READ.types)], schema=READ)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = file_system(folder)
         for batch in batches:
-            for path, want in zip(batch["path"], batch["records"] if "records" in batch else [None] * len(batch)):
+            names = batch.column(0).to_pylist()
+            for path, want in zip(names, batch.column(1).to_pylist() if batch.num_columns > 1 else [None] * len(names)):
                 rows, held, n = [], 0, 0
                 with fs.open_input_file(path) as f:
                     for kind, x in salvage(f, f.size()):
@@ -424,7 +430,8 @@ def read_archives(paths: DataFrame, folder: str) -> DataFrame:
                     raise ValueError(f"{path}: {n} records read, {want} written")
                 yield frame(rows)
 
-    return paths.select("path", *(["records"] if "records" in paths.columns else [])).mapInPandas(run, schema)
+    schema = "path string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, gap_start long, gap_end long, reason string"
+    return paths.select("path", *(["records"] if "records" in paths.columns else [])).mapInArrow(run, schema)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, least: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:

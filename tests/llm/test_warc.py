@@ -48,6 +48,15 @@ def test_edges(spark):
     assert all(r.record_type == "response" for r in small)
 
 
+def test_large_ids_and_long_headers(spark):
+    big = 2**53
+    rows = [(big + 3, "u", "same", None), (big + 1, "v", "same", None), (None, "w", "other", None), (big + 5, "h" * 3_000_000, "third", None), (-(2**63), "x", None, None)]
+    out = W.round_trip(spark, spark.createDataFrame(rows, SCHEMA)).collect()
+    got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in out]
+    assert sorted(got, key=str) == expect(rows)
+    assert max(len(r.url) for r in out) == 3_000_000
+
+
 def make(i, body=b"<p>hello</p>"):
     return W.record(i, f"http://x/{i}", body * (i + 1), W.base32_sha1(body * (i + 1)), None, False)
 
