@@ -12,7 +12,9 @@
    all pieces of a length, and find their run by binary search.
 
 The number of runs depends on ``seq_len`` and the number of groups, not on the corpus.  Several
-numbers of groups are tried and the plan with the fewest sequences is taken.
+numbers of groups and lengths at which large begins are tried, and the plan with the fewest sequences
+is taken.  Where large begins at half a sequence, a configuration holds one large piece and its room
+goes to best fit; where it begins lower, configurations combine several.
 
 Null text is the empty text: one piece that holds the end id.  Null and repeated doc_ids are kept.
 An empty table gives an empty result.  Other columns of the input are ignored.
@@ -28,7 +30,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +38,7 @@ from .common import cut, table
 from .tokens import groups
 
 CACHE_WORDS = 400_000  # words whose ids a worker remembers; others are encoded each time they come
+CACHED_CHARS = 64  # longer words are not remembered, which bounds the bytes of the cache too
 TEXT_AT_ONCE = 1 << 19
 _workers: dict[str, "WordEncoder"] = {}
 
@@ -89,8 +92,10 @@ class WordEncoder:
         if new:
             self._learn(new)
         out = [b"".join(map(self.words.__getitem__, w)) for w in split]
-        for w in new[max(0, len(new) - max(0, len(self.words) - CACHE_WORDS)) :]:
-            del self.words[w]
+        over = max(0, len(self.words) - CACHE_WORDS)
+        for k, w in enumerate(new):
+            if len(w) > CACHED_CHARS or k >= len(new) - over:
+                del self.words[w]
         return out
 
     def _learn(self, words: list[str]) -> None:
@@ -115,22 +120,24 @@ class WordEncoder:
 def cut_pieces(documents: DataFrame, file: str, seq_len: int, end_id: int = 0) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of every document's pieces."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _workers.get(file) or _workers.setdefault(file, WordEncoder(file))
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            out: list[tuple] = []
-            docs, texts = batch["doc_id"].tolist(), [t or "" for t in batch["text"]]
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            row, out = [], []
             for a, b in groups(texts, TEXT_AT_ONCE):
-                for doc, ids in zip(docs[a:b], enc.encode(texts[a:b])):
+                for i, ids in enumerate(enc.encode(texts[a:b]), a):
                     ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * seq_len)):
                         part = ids[at : at + 4 * seq_len]
-                        out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            got = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield got.astype({"doc_id": "Int64"})
+                        row.append(i)
+                        out.append((k, at // 4, len(part) // 4, zlib.crc32(part)))
+            k, start, length, crc = np.array(out, "i8").reshape(-1, 4).T
+            docs = batch.column(0).take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([docs, pa.array(k.astype("i4")), *map(pa.array, (start, length, crc))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class Plan:
@@ -278,7 +285,7 @@ def _best_fit(plan: Plan, length: int, n: int) -> None:
             plan.free(room, first + used, have - used)
 
 
-def best_plan(hist: dict[int, int], seq_len: int, tries=((32, 8), (64, 8), (128, 16), (256, 32))) -> Plan:
+def best_plan(hist: dict[int, int], seq_len: int, tries=((64, 2), (128, 3), (256, 4), (512, 4))) -> Plan:
     """The plan with the fewest sequences over (groups, ``seq_len`` // largest small length)."""
     plans = [make_plan(hist, seq_len, k, seq_len // part) for k, part in tries]
     return min(plans, key=lambda p: p.sequences)
@@ -299,20 +306,19 @@ def pack(documents: DataFrame, file: str | None = None, seq_len: int = 2048, end
     place = F.row_number().over(Window.partitionBy("length", "_b").orderBy("doc_id", "piece", "ids_crc32")) - 1
     ranked = pieces.withColumn("_place", place).join(before, ["length", "_b"]).withColumn("_rank", F.col("_before") + F.col("_place"))
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seq, off = np.zeros(len(batch), "int64"), np.zeros(len(batch), "int64")
-            lengths, ranks = batch["length"].to_numpy(), batch["_rank"].to_numpy()
+            lengths, ranks = (batch.column(i).to_numpy() for i in (3, 5))
+            seq, off = np.zeros(len(ranks), "i8"), np.zeros(len(ranks), "i8")
             for x in np.unique(lengths):
                 own = lengths == x
                 r, s, o = runs.value[int(x)]
                 i = np.searchsorted(r, ranks[own], side="right") - 1
                 seq[own], off[own] = s[i] + ranks[own] - r[i], o[i]
-            batch["sequence_id"], batch["offset"] = seq, off
-            yield batch.drop(columns="_rank").astype({"doc_id": "Int64"})
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(seq), pa.array(off)], names=[*columns, "sequence_id", "offset"])
 
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    return ranked.select(*columns, "_rank").mapInPandas(assign, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.select(*columns, "_rank").mapInArrow(assign, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op5_packing(spark, sf_dir) -> DataFrame:

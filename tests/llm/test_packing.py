@@ -43,14 +43,14 @@ def test_round_trip_on_the_table(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     rows = P.op5_packing(spark, sf).collect()
     n = check(rows, docs)
-    assert n <= 1.1 * -(-sum(r.length for r in rows) // 2048)
+    assert n <= 1.02 * -(-sum(r.length for r in rows) // 2048)
 
 
 CASES = [None, "", "A<|endoftext|>B <|STARTOFTEXT|>", "don't I'LL x,y, z,, . .. a. B, é, É. ÀB,\tq\x1cr s t", "İstanbul ΑΣ ﬁ é, 12,5. 3,", "word " * 9000, "😀,. \n\n,\n.", "it's, THE'S. 's"]
 
 
 def test_edges(spark):
-    docs = [(i, t) for i, t in enumerate(CASES)] + [(1, "again"), (1, "again"), (None, "no id")]
+    docs = [(i, t) for i, t in enumerate(CASES)] + [(1, "again"), (1, "again"), (None, "no id"), (2**53 + 1, "large id")]
     df = spark.createDataFrame([(d, t, "x") for d, t in docs], SCHEMA)
     check(P.pack(df).collect(), docs)
     check(P.pack(df, seq_len=7).collect(), docs, 7)
