@@ -5,7 +5,7 @@ on their own: those inside menus, page headers, footers, asides, forms, adverts,
 and the like, and those made of links, are boilerplate; long blocks with enough stop words are
 content; short ones stay open.  Pass two gives an open block the label of its nearest decided
 neighbours in the same region (an article or the rest of the page): content if both sides are, or
-if the nearer one is.  In an article an open block without decided neighbours is content, elsewhere
+if the nearer one is (of two as near the one that follows, as a heading goes with its text).  In an article an open block without decided neighbours is content, elsewhere
 boilerplate.
 
 Null and empty html give the empty text.  Null and repeated page_ids are kept: one row out for one
@@ -16,9 +16,10 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import table
@@ -45,9 +46,9 @@ NAMES = frozenset(
 )
 #: Names of what belongs to readers or to other pages.
 OTHERS = frozenset("comment comments reply replies disqus respond related recommended".split())
+ATTRS = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]++)?+)*+"""  # a quote opens a value only after "="; other values end at a blank
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*+>?"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>?",
+    rf"<!--.*?(?:-->|\Z)|<(script|style)\b{ATTRS}>.*?(?:</\1\s*>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)({ATTRS})>?",
     re.S | re.I,
 )
 ATTR = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -79,6 +80,7 @@ def blocks(page: str) -> Iterator[tuple[str, int, int, int, bool]]:
     """
     stack: list[tuple[str, int, int]] = []  # open holders, how unwanted each is, and ``base`` before it
     parts: list[tuple[str, bool]] = []
+    opened = Counter()  # holders on the stack by tag
     soft = hard = base = articles = region = links = at = 0
 
     def block():
@@ -117,13 +119,15 @@ def blocks(page: str) -> Iterator[tuple[str, int, int, int, bool]]:
             else:
                 off = named
             stack.append((tag, off, base))
+            opened[tag] += 1
             soft, hard = soft + (off == 1), hard + (off == 2)
             if tag in ("article", "main"):
                 articles, region = articles + 1, region + 1
                 base = soft - (off == 1)
-        elif any(t == tag for t, _, _ in stack):
+        elif opened[tag]:
             while True:
                 t, off, was = stack.pop()
+                opened[t] -= 1
                 soft, hard = soft - (off == 1), hard - (off == 2)
                 if t in ("article", "main"):
                     articles, region = articles - 1, region + 1
@@ -170,7 +174,7 @@ def main_text(page: str | None, short: int = 70, long: int = 200, high: float =
         if label is None:
             a, b = near[0][i], near[1][i]
             if a and b:
-                label = a[1] if a[1] == b[1] else (a if i - a[0] <= b[0] - i else b)[1]
+                label = a[1] if a[1] == b[1] else (a if i - a[0] < b[0] - i else b)[1]
             else:
                 label = (a or b or (0, found[i][3] > 0))[1]
         if label:
@@ -181,14 +185,13 @@ def main_text(page: str | None, short: int = 70, long: int = 200, high: float =
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = [main_text(h) for h in batch["html"]]
-            out = pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "text": text})
-            out["n_chars"] = [len(t) for t in text]
-            yield out
+            text = [main_text(h.as_py()) for h in batch.column(2)]
+            columns = [batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
-    return pages.selectExpr("cast(page_id as long) page_id", "url", "html").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return pages.selectExpr("cast(page_id as long) page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def op6_html_text(spark, sf_dir) -> DataFrame:

@@ -42,6 +42,19 @@ def test_odd_pages():
     main_text("<div>" * 20000 + "x")
 
 
+def test_quotes_in_unquoted_values():
+    assert main_text(f"<article><p>{LONG}</p><p>a <a title=John's href=x>second</a> part</p><p>It's the third.</p></article>") == f"{LONG}\n\na second part\n\nIt's the third."
+    assert main_text("<article><p data-x='a>b' title=\"c>d\" y = z>one</p><p ' \" q=>two</p><p x=\"open>three</p></article>") == "one\n\ntwo\n\nthree"
+
+
+def test_pages_that_are_not_articles():
+    listing = page(f"<div class='results'><div><h2>First</h2><p>{LONG}</p></div><div><h2>Second</h2><p>{LONG}</p></div></div>")
+    assert main_text(listing) == f"First\n\n{LONG}\n\nSecond\n\n{LONG}"
+    table = page(f"<table><tr><td><a href='/a'>A</a></td><td><p>{LONG}</p></td></tr></table><table><tr><td><a href='/b'>B</a> | <a href='/c'>C</a></td></tr></table>")
+    assert main_text(table) == LONG
+    assert main_text(page("<ul><li><a href='/a'>A</a></li><li><a href='/b'>B</a></li></ul>")) == ""
+
+
 def brute(src):  # the article of the generated pages
     art = re.search(r"<article>(.*?)</article>", src, re.S)[1]
     parts = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", p)).split()) for p in re.split(r"</?(?:p|h1)>", re.sub(r"</?b>", "", art))]
@@ -59,6 +72,7 @@ def test_table(spark, sf):
 
 def test_nulls_and_empty(spark):
     schema = "page_id long, url string, html string, text string"
-    out = extract(spark.createDataFrame([(None, None, None, "x"), (1, "u", "<article>a</article>", None), (1, "u", "<article>a</article>", None)], schema)).collect()
+    out = extract(spark.createDataFrame([(None, None, None, "x"), (1, "u", "<article>a</article>", None), (2**53 + 1, "u", "<article>a</article>", None)], schema)).collect()
     assert sorted((r.text, r.n_chars) for r in out) == [("", 0), ("a", 1), ("a", 1)]
+    assert {r.page_id for r in out} == {None, 1, 2**53 + 1}
     assert extract(spark.createDataFrame([], schema)).count() == 0
