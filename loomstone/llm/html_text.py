@@ -5,7 +5,7 @@ on their own: those inside menus, page headers, footers, asides, forms, adverts,
 and the like, and those made of links, are boilerplate; long blocks with enough stop words are
 content; short ones stay open.  Pass two gives an open block the label of its nearest decided
 neighbours in the same region (an article or the rest of the page): content if both sides are, or
-if the nearer one is (of two as near the one that follows, as a heading goes with its text).  In an article an open block without decided neighbours is content, elsewhere
+if the nearer one is (of two as near: the one before; for a heading the one after).  In an article an open block without decided neighbours is content, elsewhere
 boilerplate.
 
 Null and empty html give the empty text.  Null and repeated page_ids are kept: one row out for one
@@ -36,6 +36,7 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hr html iframe legend li main menu nav noscript object ol optgroup option p pre section select "
     "summary svg table tbody td template textarea tfoot th thead title tr ul video audio canvas".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NEVER = frozenset("head title nav footer aside form button select option textarea dialog menu noscript template svg iframe object video audio canvas".split())
 HOLDERS = BLOCK - frozenset("p hr li dt dd tr td th thead tbody tfoot h1 h2 h3 h4 h5 h6 option optgroup".split()) | {"span", "a"}
 NAMES = frozenset(
@@ -72,8 +73,8 @@ def _unwanted(attrs: str) -> int:
     return out
 
 
-def blocks(page: str) -> Iterator[tuple[str, int, int, int, bool]]:
-    """``(text, characters in links, region, articles around, unwanted)`` of each block in page order.
+def blocks(page: str) -> Iterator[tuple[str, int, int, int, bool, bool]]:
+    """``(text, characters in links, region, articles around, unwanted, heading)`` of each block in page order.
 
     An article or main element within a holder that is only named like boilerplate (such as
     "has-sidebar") is judged by what it holds itself.
@@ -81,13 +82,14 @@ def blocks(page: str) -> Iterator[tuple[str, int, int, int, bool]]:
     stack: list[tuple[str, int, int]] = []  # open holders, how unwanted each is, and ``base`` before it
     parts: list[tuple[str, bool]] = []
     opened = Counter()  # holders on the stack by tag
+    heading = False
     soft = hard = base = articles = region = links = at = 0
 
     def block():
         text = " ".join(html.unescape("".join(p for p, _ in parts)).split())
         linked = sum(len(" ".join(html.unescape(p).split())) for p, x in parts if x)
         parts.clear()
-        return (text, linked, region, articles, hard > 0 or soft > base) if text else None
+        return (text, linked, region, articles, hard > 0 or soft > base, heading) if text else None
 
     for m in TOKEN.finditer(page):
         if m.start() > at:
@@ -103,7 +105,7 @@ def blocks(page: str) -> Iterator[tuple[str, int, int, int, bool]]:
         if tag in BLOCK:
             if b := block():
                 yield b
-            links = 0
+            links, heading = 0, not closing and tag in HEADINGS
         elif tag == "a":
             links = 0 if closing else 1
         if tag not in HOLDERS:
@@ -143,7 +145,7 @@ def main_text(page: str | None, short: int = 70, long: int = 200, high: float =
     """The text of a page's content blocks, joined by two line ends."""
     found = list(blocks(page or ""))
     labels: list[bool | None] = []
-    for text, in_links, _, articles, unwanted in found:
+    for text, in_links, _, articles, unwanted, _ in found:
         density = in_links / len(text)
         if unwanted or density > linked:
             labels.append(False)
@@ -174,7 +176,7 @@ def main_text(page: str | None, short: int = 70, long: int = 200, high: float =
         if label is None:
             a, b = near[0][i], near[1][i]
             if a and b:
-                label = a[1] if a[1] == b[1] else (a if i - a[0] < b[0] - i else b)[1]
+                label = a[1] if a[1] == b[1] else (a if i - a[0] < b[0] - i + (not found[i][5]) else b)[1]
             else:
                 label = (a or b or (0, found[i][3] > 0))[1]
         if label:
