@@ -1,17 +1,25 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
 Every rule compares one measure of a document with a cutoff.  Cutoffs are chosen per stratum (the
-language) from the labelled documents: for each rule the grid is walked from lax to strict, and a
-cutoff is accepted while the exact binomial test rejects, for the good documents of the stratum, a
-false-rejection rate of ``risk`` or more.  Walking in a fixed order and stopping at the first failure
-needs no correction along the grid; over rules and strata the level is divided (Bonferroni).  So with
-probability 1 - ``level`` every rule falsely rejects less than ``risk`` of each stratum's documents.
-A stratum with too few labels to prove anything gets no cutoff: only the fixed base rules apply.
+language) from the labelled documents.  ``STEPS`` is a fixed path from lax to strict through the grids
+of all rules; the hypothesis of a step says that all rules together, with their cutoffs up to it,
+falsely reject ``risk`` or more of the good documents that the base rules pass.  The exact binomial
+test is made step by step, and the stratum's cutoffs are those of the last step before the first that
+it does not reject.  A fixed sequence needs no correction along the path.  Over strata the level is
+divided by Holm's rule: the share of a stratum whose whole path is proven goes to the others.  So with
+probability 1 - ``level`` the rules together falsely reject less than ``risk`` in every stratum.
+
+A stratum with so few good labels that not even a path without one false rejection proves anything
+(at risk 0.02 and four strata: fewer than 183) is pooled with the others of that kind.  If they are too few
+together, the pool takes in the labels of all strata.  Its cutoffs hold for documents of pooled strata
+and of languages without labels; the guarantee is for the pool as a whole.  Pooling looks at numbers of
+labels only, never at outcomes, so it does not touch the level.  Without enough labels at all there is no
+cutoff: only the fixed base rules apply.  ``choose_cutoffs`` reports what each stratum got.
 
 Null text has no words (and so fails the base rules); null languages are one stratum; documents
 without labels don't take part in the choice.  Repeated doc_ids are kept, a repeated label counts
-once (the worse one).  Empty tables give empty results, without labels no cutoff is set.  Other
-columns of the input are passed through by ``apply_rules`` and otherwise ignored.
+once (the worse one).  Empty tables give empty results.  All columns of the input pass through
+``filter_documents`` unchanged, whatever their names; otherwise they are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, table, written
 
 SPACE = r"[\x20\x09-\x0D]"
 #: Rules and their grids from lax to strict; a document fails where its measure is above the cutoff.
@@ -33,6 +41,8 @@ RULES = {
     "long_words": (25.0, 20.0, 16.0, 13.0, 11.0, 10.0),
     "short_words": (-1.5, -2.0, -2.5, -3.0),
 }
+#: The path: every rule's first cutoff, then every rule's second, and so on (rule, place in its grid).
+STEPS = tuple((r, i) for i in range(max(map(len, RULES.values()))) for r, grid in RULES.items() if i < len(grid))
 WINDOW = 8
 MOST_STRATA = 10_000  # up to so many rows the cutoffs are broadcast, beyond they are joined by shuffle
 
@@ -49,11 +59,11 @@ def _words_in_repeats(at: str) -> Column:
     )
 
 
-def measure(documents: DataFrame) -> DataFrame:
-    """``documents`` with ``n_words``, the measures of the contract and ``base_failed``, all in ``_q``."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+def measure(documents: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """``row``, a struct of the input's columns (or those to keep), and its measures in ``_q``."""
+    text = F.coalesce(F.col("_t"), F.lit(""))
     words = F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
-    out = documents.withColumn("_w", words)
+    out = documents.select(F.struct(*(keep or documents.columns)).alias("row"), F.col("text").alias("_t")).withColumn("_w", words)
     n = F.size("_w")
     # hash of the eight words from each start; slices stay within the array
     windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - WINDOW + 1), lambda i: F.xxhash64(F.slice("_w", i, WINDOW)))).otherwise(F.array().cast("array<long>"))
@@ -76,7 +86,7 @@ def measure(documents: DataFrame) -> DataFrame:
         capitals.cast("long").alias("n_capitals"),
     )
     # explode of one element: a boundary beyond which the optimiser does not copy these expressions
-    return out.withColumn("_q", F.explode(F.array(measured))).drop("_w", "_h", "_at", "_l")
+    return out.withColumn("_q", F.explode(F.array(measured))).select("row", "_q")
 
 
 def base_failed(q: str = "_q") -> Column:
@@ -112,55 +122,73 @@ def binomial_below(n: Column, k: Column, risk: float) -> Column:
     return F.when(k > n * risk, F.lit(1.0)).otherwise(F.least(F.lit(1.0), total))
 
 
-def choose_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = 0.005, level: float = 0.1) -> DataFrame:
-    """One row per stratum: ``_stratum`` and ``_cut``, a struct with a cutoff (or null) for each rule.
+def choose_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = 0.02, level: float = 0.1) -> DataFrame:
+    """One row per labelled stratum and one (``pool``) for all others.
 
-    ``measured`` has ``doc_id``, ``lang`` and ``_q``.
+    ``_stratum`` (null for the pool), ``n`` good labels, ``pooled`` (whether its own were too few),
+    ``steps`` proven, and ``_cut``, a struct with a cutoff (or null) for each rule.  ``measured`` comes
+    from ``measure`` and keeps ``doc_id`` and ``lang``.
     """
     good = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_y")).where("_y = 1").select("doc_id")
-    held = measured.where(~base_failed()).select("doc_id", F.coalesce("lang", F.lit("")).alias("_stratum"), *(_value(r).alias(r) for r in RULES))
-    held = held.join(good, "doc_id")
-    counts = held.groupBy("_stratum").agg(
-        F.count(F.lit(1)).alias("n"),
-        *(F.array(*(F.count_if(F.col(r) > g) for g in grid)).alias(r) for r, grid in RULES.items()),
-    )
-    counts = cut(counts)
-    strata = max(1, counts.count())
-    per_test = level / (len(RULES) * strata)
+    failed = F.coalesce(*(F.when(_value(r) > RULES[r][i], F.lit(j)) for j, (r, i) in enumerate(STEPS)), F.lit(len(STEPS)))  # first step that rejects it
+    held = measured.where(~base_failed()).select("row.doc_id", F.coalesce("row.lang", F.lit("")).alias("s"), failed.alias("at")).join(good, "doc_id")
+    by = cut(held.groupBy("s", "at").agg(F.count(F.lit(1)).alias("n")))  # at most len(STEPS) + 1 rows a stratum
+    sizes = by.groupBy("s").agg(F.sum("n").alias("n"))
+
+    need = lambda m: F.ceil(F.log(F.lit(level) / m) / math.log1p(-risk))  # noqa: E731  fewest labels that prove anything
+    strata = sizes.agg(F.count(F.lit(1)).alias("m"))
+    sizes = sizes.crossJoin(strata).select("s", "n", (F.col("n") < need(F.col("m"))).alias("pooled"))  # strata is one row
+    total = cut(sizes.agg(F.count_if(~F.col("pooled")).alias("own"), F.coalesce(F.sum(F.when(F.col("pooled"), F.col("n"))), F.lit(0)).alias("few")))
+    m = F.col("own") + 1  # the pool is a stratum too
+    everyone = F.col("few") < need(m)  # the pool takes in all labels
+    by = by.join(sizes.drop("n"), "s").crossJoin(total)
+    groups = by.select(F.explode(F.filter(F.array(F.when(~F.col("pooled"), F.struct(F.col("s").alias("s"))), F.when(F.col("pooled") | everyone, F.struct(F.lit(None).cast("string").alias("s")))), lambda x: x.isNotNull())).alias("g"), "at", "n")
+    rejected = F.array(*(F.coalesce(F.sum(F.when(F.col("at") <= j, F.col("n"))), F.lit(0)) for j in range(len(STEPS))))
+    paths = groups.groupBy("g.s").agg(F.sum("n").alias("n"), rejected.alias("k"))
+    paths = cut(paths.withColumn("p", F.transform("k", lambda k: binomial_below(F.col("n"), k, risk))))
+
+    # Holm: paths by the largest p-value of theirs; while the smallest is proven at its share, its share passes on
+    worst = F.array_sort(F.collect_list(F.array_max("p")))
+    proven = F.aggregate("w", F.struct(F.lit(0).alias("k"), F.lit(True).alias("on")), lambda a, p: F.struct((a["k"] + (a["on"] & (p <= level / (F.size("w") - a["k"]))).cast("int")).alias("k"), (a["on"] & (p <= level / (F.size("w") - a["k"]))).alias("on")))
+    share = paths.agg(worst.alias("w")).select((level / F.greatest(F.size("w") - proven["k"], F.lit(1))).alias("share"))
+    passed = F.transform("p", lambda p: p <= F.col("share"))
+    first_fail = F.array_position(passed, False).cast("int")
+    steps = F.when(first_fail == 0, F.size("p")).otherwise(first_fail - 1)
 
     def strictest(rule: str) -> Column:
-        passed = F.transform(F.col(rule), lambda k: binomial_below(F.col("n"), k, risk) <= per_test)
-        first_fail = F.array_position(passed, False)
-        last = F.when(first_fail == 0, F.size(passed)).otherwise(first_fail.cast("int") - 1)
-        return F.get(F.array(*(F.lit(g) for g in RULES[rule])), last - 1)
+        own = [(j, i) for j, (r, i) in enumerate(STEPS) if r == rule]
+        return F.coalesce(*(F.when(F.col("steps") > j, F.lit(RULES[rule][i])) for j, i in reversed(own)))
 
-    return cut(counts.select("_stratum", F.struct(*(strictest(r).alias(r) for r in RULES)).alias("_cut")))
+    chosen = paths.crossJoin(share).withColumn("steps", steps)  # share is one row
+    return cut(chosen.select(F.col("s").alias("_stratum"), "n", F.col("s").isNull().alias("pooled"), "steps", F.struct(*(strictest(r).alias(r) for r in RULES)).alias("_cut")))
 
 
 def apply_rules(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """``measured`` with ``_kept``: passes the base rules and every cutoff of its stratum."""
-    small = cutoffs.count() <= MOST_STRATA
-    side = F.broadcast(cutoffs) if small else cutoffs
-    out = measured.withColumn("_stratum", F.coalesce("lang", F.lit(""))).join(side, "_stratum", "left")
+    """``measured`` with ``_kept``: passes the base rules and every cutoff of its stratum, or of the pool."""
+    own = cutoffs.where("_stratum is not null").select("_stratum", F.col("_cut").alias("_own"))
+    own = F.broadcast(own) if cutoffs.count() <= MOST_STRATA else own
+    pool = cutoffs.where("_stratum is null").agg(F.first("_cut").alias("_pool"))  # one row
+    out = measured.withColumn("_stratum", F.coalesce("row.lang", F.lit(""))).join(own, "_stratum", "left").crossJoin(F.broadcast(pool))
+    use = F.coalesce("_own", "_pool")
     fails = F.lit(False)
     for r in RULES:
-        fails = fails | F.coalesce(_value(r) > F.col("_cut")[r], F.lit(False))
-    return out.withColumn("_kept", ~base_failed() & ~fails).drop("_stratum", "_cut")
+        fails = fails | F.coalesce(_value(r) > use[r], F.lit(False))
+    return out.select("row", "_q", (~base_failed() & ~fails).alias("_kept"))
 
 
-def filter_documents(documents: DataFrame, labels: DataFrame, risk: float = 0.005, level: float = 0.1) -> DataFrame:
-    """The rows of ``documents`` that are kept.  Measures twice rather than move texts between tasks."""
-    cutoffs = choose_cutoffs(measure(documents.select("doc_id", "lang", "text")).drop("text"), labels, risk, level)
-    return apply_rules(measure(documents), cutoffs).where("_kept").select(*documents.columns)
+def filter_documents(documents: DataFrame, labels: DataFrame, risk: float = 0.02, level: float = 0.1) -> DataFrame:
+    """The rows of ``documents`` that are kept.  Rows are written once with their measures and read again."""
+    measured = written(measure(documents))
+    cutoffs = choose_cutoffs(measured, labels, risk, level)
+    return apply_rules(measured, cutoffs).where("_kept").select("row.*")
 
 
 def op8_quality_rules(spark, sf_dir) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    measured = cut(measure(documents).drop("text"))
+    measured = written(measure(table(spark, sf_dir, "documents"), ["doc_id", "lang"]))
     cutoffs = choose_cutoffs(measured, table(spark, sf_dir, "labels"))
     names = ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return apply_rules(measured, cutoffs).select(
-        "doc_id",
+        "row.doc_id",
         F.col("_q.n_words").alias("n_words"),
         *(F.col(f"_q.{c}").alias(c) for c in names),
         base_failed().alias("base_failed"),
