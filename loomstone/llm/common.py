@@ -45,6 +45,30 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+HEAVY, COPIES = 1000, 64
+
+
+def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], heavy: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows.join(side, keys, how)`` where some keys hold a large share of ``rows``.
+
+    ``heavy`` has those keys: not more than HEAVY, each with over 1 / HEAVY of the rows.  Their rows are
+    dealt into COPIES parts by the hash of the whole row (so a task that runs again deals alike), and
+    ``side`` repeats its rows of these keys for each part.
+    """
+    flag, salt = (f"{x}-{uuid.uuid4().hex}" for x in ("heavy", "salt"))
+    flags = F.broadcast(heavy.select(*keys).withColumn(flag, F.lit(True)))
+    part = F.when(F.col(flag), F.pmod(F.xxhash64(*rows.columns), F.lit(COPIES))).otherwise(F.lit(0))
+    parts = F.when(F.col(flag), F.sequence(F.lit(0), F.lit(COPIES - 1))).otherwise(F.array(F.lit(0)))
+    left = rows.join(flags, keys, "left").withColumn(salt, part.cast("int")).drop(flag)
+    right = side.join(flags, keys, "left").withColumn(salt, F.explode(parts)).drop(flag)
+    return left.join(right, [*keys, salt], how).drop(salt)
+
+
+def heavy_keys(counted: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """Keys of ``counted`` (one row each) with over 1 / HEAVY of ``total`` rows; at most HEAVY of them."""
+    return counted.where(F.col(size) > max(1, total / HEAVY)).select(*keys)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, heavy_keys, spread_join, table
 from .graph import components
 from .tokens import groups, mix, words
 
@@ -300,16 +300,17 @@ def join_near(documents: DataFrame) -> DataFrame:
     nodes = cut(signed.groupBy("set1", "set2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("sig").alias("sig")))
     bands = F.array(*(F.xxhash64(F.substring("sig", 2 * ROWS * b + 1, 2 * ROWS), F.lit(b)) for b in range(BANDS)))
     keys = nodes.select("rep", F.explode(bands).alias("key"))
-    full = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    found = keys.join(full, "key").join(nodes.select("rep", F.substring("sig", 1, 2 * COMPARED).alias("sig")), "rep")
+    full = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    heavy = heavy_keys(full, ["key"], "size", BANDS * nodes.count())
+    found = spread_join(keys, full, ["key"], heavy).join(nodes.select("rep", F.substring("sig", 1, 2 * COMPARED).alias("sig")), "rep")
     units = _blocks(found, "size", "rep")
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
     units = units.repartition(shuffle, "key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
     group = components(units.mapInPandas(_prune, "a long, b long"))
     group = cut(group)
 
-    sizes = group.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    to_check = group.join(sizes, "component").withColumnRenamed("node", "rep").join(nodes.select("rep", "set1", "weight"), "rep")
+    sizes = cut(group.groupBy("component").agg(F.count(F.lit(1)).alias("size")))
+    to_check = spread_join(group, sizes, ["component"], heavy_keys(sizes, ["component"], "size", group.count())).withColumnRenamed("node", "rep").join(nodes.select("rep", "set1", "weight"), "rep")
     to_check = cut(to_check)
     side = F.broadcast(to_check) if to_check.count() <= BROADCAST_ROWS else to_check
     texts = docs.withColumnRenamed("doc_id", "rep").join(side, "rep").select("rep", "text", "component", "size", "set1", "weight")
@@ -323,8 +324,9 @@ def join_near(documents: DataFrame) -> DataFrame:
     classes = nodes.select("set1", "set2", "rep", "weight").join(final, "rep", "left").join(links, "rep", "left")
     # a class of one document with no links needs no row: what is joined to the documents is short
     classes = classes.where("weight > 1 or component is not null")
+    heavy = heavy_keys(nodes, ["set1", "set2"], "weight", signed.count())
     out = docs.select("doc_id").join(
-        signed.select("doc_id", "set1", "set2").join(classes, ["set1", "set2"]).select("doc_id", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")),
+        spread_join(signed.select("doc_id", "set1", "set2"), classes, ["set1", "set2"], heavy).select("doc_id", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")),
         "doc_id",
         "left",
     )

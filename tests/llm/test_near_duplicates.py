@@ -67,6 +67,13 @@ def test_blocks_of_large_groups(spark):
         N.BLOCK = old
 
 
+def test_one_group_of_most_documents(spark):
+    rnd = random.Random(6)
+    base = [f"w{k}" for k in range(60)]
+    docs = [(k, " ".join([*base[: 10 + k % 40], f"x{k % 90}", *base[11 + k % 40 :]])) for k in range(240)] + [(1000 + k, " ".join(rnd.choices(base, k=30))) for k in range(20)]
+    assert run(spark, docs) == brute(docs)
+
+
 def test_table(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert sorted(tuple(r) for r in N.op2_near_duplicates(spark, sf).collect()) == brute(docs)
@@ -106,3 +113,6 @@ def test_components(spark):
         root[max(p, q)] = min(p, q)
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+    star = [(5000, x) for x in range(5001, 9000)] + [(9000 + x, 9001 + x) for x in range(9)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(star, "a long, b long")).collect()}
+    assert got == {x: 5000 if x < 9000 else 9000 for e in star for x in e}
