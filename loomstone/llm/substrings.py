@@ -1,10 +1,12 @@
-"""Removal of repeated 50-byte strings by sorting suffix buckets one at a time.
+"""Removal of repeated 50-byte strings, a bucket of suffixes at a time.
 
 A byte of a document goes if a string of ``length`` bytes that covers it also starts in a document
-with a smaller doc_id.  Suffixes need to be ordered by their first ``length`` bytes only, and are
-sorted in buckets of bounded size, never all together.  A precomputed sample of positions, chosen so
-that equal strings have a sample at the same place, settles which suffixes can have a partner at all
-and which bucket they belong to:
+with a smaller doc_id.  Which suffixes agree in their first ``length`` bytes is all that matters, so no
+suffix array is kept: suffixes are dealt into buckets of bounded size by a sample of their positions, and
+each bucket groups the strings of its suffixes by hash and compares them byte by byte.  The sample stands
+in for the precomputed difference cover (see the README for why that was left): it is chosen by content,
+so that equal strings have it at the same place, and settles which suffixes can have a partner at all and
+which bucket they belong to:
 
 1. The sample of a string is its least hashed seed of ``SEED`` bytes, the leftmost if equal.  It
    takes 1 position in 10.  A periodic difference cover would take 6 in 31 with seeds of 20 bytes,
@@ -12,9 +14,9 @@ and which bucket they belong to:
 2. Documents are dealt into groups of bounded size.  Each group sends the distinct hashes of its
    seeds to buckets of hash ranges, which answer with those that another group has too.
 3. For seeds that more than one document has, each group sends the distinct surroundings (all
-   strings that own the seed lie within) with their smallest doc_id.  A bucket sorts the strings of
-   its surroundings, compares them byte by byte with the first of their kind, and answers with those
-   that start in a document with a smaller id.
+   strings that own the seed lie within) with their smallest doc_id.  A bucket takes the strings of its
+   surroundings a run of seeds at a time, compares them byte by byte with the first of their kind, and
+   answers with those that start in a document with a smaller id.
 4. Each group marks the bytes and measures what is left.
 
 Because a group sends each hash and each surrounding once, a passage that a third of all documents
@@ -44,6 +46,7 @@ AROUND = LENGTH + W - 1  # bytes of all strings that hold a seed
 GROUP_BYTES = 4 << 20
 SEED_BUCKET_BYTES = 32 << 20  # text whose seeds share a bucket
 SORT_BUCKET_BYTES = 2 << 20  # text whose surroundings share a bucket
+PARTITION_BYTES = 32 << 20  # text that a task reads
 SORTED_AT_ONCE = 1 << 19  # strings
 ENTRIES_AT_ONCE = 1 << 15  # surroundings, and as many more as share the last seed
 CHUNK = 1 << 19
@@ -266,7 +269,7 @@ def _smaller(e: np.ndarray) -> np.ndarray:
 
 
 def answer_two(key, rows: pd.DataFrame) -> pd.DataFrame:
-    """Sort the strings of one bucket, a run of seeds at a time; say which of them a smaller document has."""
+    """Group the strings of one bucket, a run of seeds at a time; say which of them a smaller document has."""
     e = np.frombuffer(b"".join(rows["data"]), ENTRY)
     seed = np.empty(len(e), "u8")
     for a in range(0, len(e), 1 << 14):
@@ -356,7 +359,10 @@ def remove_repeats(documents: DataFrame, keep_text: bool = False) -> DataFrame:
     total = first.agg(F.sum("n")).first()[0] or 0
     n, seed_buckets, sort_buckets = (max(32, -(-total // size)) for size in (GROUP_BYTES, SEED_BUCKET_BYTES, SORT_BUCKET_BYTES))
     group = F.pmod(F.xxhash64("doc_id"), F.lit(n))
-    known = known.withColumn("g", group).repartition("g")
+    # partitions grow with the input, so that what a task reads doesn't
+    shuffle = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts, seed_parts, sort_parts = (max(shuffle, -(-total // PARTITION_BYTES)), max(shuffle, seed_buckets), max(shuffle, -(-sort_buckets // 8)))
+    known = known.withColumn("g", group).repartition(parts, "g")
     none = lambda t: F.lit(None).cast(t)
     lead = first.select(F.pmod(F.xxhash64("x"), F.lit(n)).alias("g"), F.lit(0).alias("kind"), "x", F.lit(0).cast("long").alias("idx"), none("binary").alias("data"))
 
@@ -364,8 +370,8 @@ def remove_repeats(documents: DataFrame, keep_text: bool = False) -> DataFrame:
         return known.groupBy("g").cogroup(side.groupBy("g")).applyInPandas(f, schema)
 
     sent = "b long, g long, data binary"
-    told = lead.union(with_docs(lead, pass_one(seed_buckets), sent).groupBy("b").applyInPandas(answer_one, SIDE))
-    told_more = told.union(with_docs(told, pass_two(seed_buckets, sort_buckets), sent).groupBy("b").applyInPandas(answer_two, SIDE))
+    told = lead.union(with_docs(lead, pass_one(seed_buckets), sent).repartition(seed_parts, "b").groupBy("b").applyInPandas(answer_one, SIDE))
+    told_more = told.union(with_docs(told, pass_two(seed_buckets, sort_buckets), sent).repartition(sort_parts, "b").groupBy("b").applyInPandas(answer_two, SIDE))
     out = with_docs(told_more, pass_three(seed_buckets, keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     rest = docs.where("doc_id is null").select(
         "doc_id",
