@@ -1,19 +1,25 @@
-"""Façade: one object over a log of events; reads return DataFrames, writes return the log with an event more.
+"""Façade: one object over a log of events; reads return DataFrames, writes return an engine over a longer log.
 
 The log has the columns ``event_id, type, actor, owner, entity, predicate, value, text, ref, occurred_at,
 recorded_at``.  Nothing is changed in place: ``remember``, ``correct``, ``forget`` and the like append
-events, and every read is a fold of the log, so ``as_of`` works for all of them.
+events, and every read is a fold of the log, so ``as_of`` works for all of them.  A write adds files to the
+log's folder under the shared one; an engine reads the files that were there when it was made, in one scan.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import content_id
 from .operators.answering import RULES, best_sentence
+from .operators.curation import roots
 from .operators.eventlog import append, latest
-from .operators.retrieval import bm25, top
+from .operators.retrieval import top
+from .operators.search import Index
+from .sources.mirror import work_folder
 
 SCHEMA = (
     "event_id string, type string, actor string, owner string, entity string, predicate string, value string, text string, "
@@ -24,9 +30,10 @@ SCHEMA = (
 class Engine:
     """Reads and writes over one log, for one principal."""
 
-    def __init__(self, log: DataFrame, principal: str = "_user"):
-        self.log, self.principal = log, principal
+    def __init__(self, log: DataFrame, principal: str = "_user", paths: tuple[str, ...] = ()):
+        self.log, self.principal, self.paths = log, principal, paths
         self.disabled: frozenset[str] = frozenset()
+        self._index: Index | None = None
 
     @classmethod
     def empty(cls, spark: SparkSession, principal: str = "_user") -> Engine:
@@ -43,7 +50,15 @@ class Engine:
         names = [c for c in self.log.columns if c != "event_id"]
         rows = events.select(*(F.col(c) if c in events.columns else F.lit(None).cast(self.log.schema[c].dataType).alias(c) for c in names))
         rows = rows.withColumn("event_id", content_id("ev_", *(F.col(c) for c in names if c != "recorded_at"))).select(*self.log.columns)
-        out = Engine(self.log.union(append(self.log, rows)), self.principal)
+        paths = self.paths
+        if not paths:
+            paths = (f"{work_folder(self.spark, 'log')}/0",)
+            self.log.write.parquet(paths[0])
+        folder = paths[0].rsplit("/", 1)[0]
+        new = f"{folder}/{len(paths)}-{uuid.uuid4().hex[:8]}"
+        append(self.log, rows).write.parquet(new)
+        paths = (*paths, new)
+        out = Engine(self.spark.read.schema(self.log.schema).parquet(*paths), self.principal, paths)
         out.disabled = self.disabled
         return out
 
@@ -83,6 +98,26 @@ class Engine:
     def unmerge(self, entity: str, at: str) -> Engine:
         return self._event("unmerged", at, entity=entity)
 
+    def withdraw_consent(self, at: str) -> Engine:
+        """Observations of this principal are not read any more, by anyone."""
+        return self._event("consent_withdrawn", at)
+
+    def reflect(self, situation: str, lesson: str, at: str) -> Engine:
+        return self._event("reflected", at, text=situation, value=lesson)
+
+    def add_goal(self, text: str, at: str) -> Engine:
+        return self._event("goal", at, text=text)
+
+    def pin(self, entity: str, predicate: str, at: str) -> Engine:
+        """Facts of this key always go into the context."""
+        return self._event("pinned", at, entity=entity, predicate=predicate)
+
+    def unpin(self, entity: str, predicate: str, at: str) -> Engine:
+        return self._event("unpinned", at, entity=entity, predicate=predicate)
+
+    def review_link_candidate(self, entity: str, record: str, accept: bool, at: str) -> Engine:
+        return self._event("adjudicated", at, entity=entity, ref=record, value="accepted" if accept else "rejected")
+
     def set_rule_enabled(self, name: str, on: bool) -> Engine:
         out = Engine(self.log, self.principal)
         out.disabled = self.disabled - {name} if on else self.disabled | {name}
@@ -106,11 +141,20 @@ class Engine:
     def facts(self) -> DataFrame:
         """Active facts: the last assertion or correction of each key that is not retracted."""
         e = self.readable().where("type IN ('asserted', 'corrected', 'retracted')")
-        rows = latest(e.select("owner", "entity", "predicate", "value", "type", "recorded_at", "event_id"), ["owner", "entity", "predicate"], "recorded_at", "event_id")
-        return rows.where("type <> 'retracted'").drop("type")
+        e = self._merged(e.select("owner", "entity", "predicate", "value", "type", "recorded_at", "event_id"))
+        return latest(e, ["owner", "entity", "predicate"], "recorded_at", "event_id").where("type <> 'retracted'").drop("type")
+
+    def _merged(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with every entity replaced by the one it was merged into, along chains; the last merge or unmerge decides."""
+        links = self.readable().where("type IN ('merged', 'unmerged')").select("entity", "ref", "type", "recorded_at", "event_id")
+        links = latest(links, ["entity"], "recorded_at", "event_id").where("type = 'merged' AND entity <> ref").select(F.col("entity").alias("node"), F.col("ref").alias("to"))
+        if links.isEmpty():
+            return rows
+        ends = roots(links).withColumnRenamed("node", "entity")
+        return rows.join(ends, "entity", "left").withColumn("entity", F.coalesce("root", "entity")).select(*rows.columns)
 
     def history(self, entity: str, predicate: str) -> DataFrame:
-        e = self.readable().where((F.col("entity") == entity) & (F.col("predicate") == predicate))
+        e = self.readable().where((F.col("entity") == entity) & (F.col("predicate") == predicate) & F.col("type").isin("asserted", "corrected", "retracted"))
         return e.select("event_id", "type", "value", "recorded_at").orderBy("recorded_at", "event_id")
 
     def timeline(self, limit: int = 50) -> DataFrame:
@@ -119,12 +163,15 @@ class Engine:
 
     def observed(self) -> DataFrame:
         gone = self.log.where("type = 'forbidden'").select(F.col("ref").alias("h")).distinct()
-        e = self.readable().where("type = 'observed'").withColumn("h", F.sha2("text", 256))
-        return e.join(gone, "h", "left_anti").drop("h")
+        e = self.readable().where("type = 'observed'").withColumn("h", F.sha2("text", 256)).join(gone, "h", "left_anti").drop("h")
+        no = self.log.where("type = 'consent_withdrawn'").select("owner").distinct()
+        return e.join(no, "owner", "left_anti").select(*self.log.columns)
 
     def search(self, words: list[str], limit: int = 10) -> DataFrame:
         """Observations by BM25 of a bounded list of words."""
-        return top(bm25(self.observed(), words, "event_id", "text"), limit)
+        if self._index is None:
+            self._index = Index.build(self.observed(), "event_id", "text")
+        return top(self._index.bm25(words), limit)
 
     def answer(self, words: list[str], least_score: float = 0.0) -> DataFrame:
         """The best observation's sentence, or no row (abstain)."""
@@ -139,6 +186,44 @@ class Engine:
         g = self.facts().groupBy("entity", "predicate").agg(F.count_distinct("value").alias("values"), F.min("event_id").alias("first_id"))
         return g.where("values > 1")
 
+    def explain(self, entity: str, predicate: str) -> DataFrame:
+        """The events that a fact rests on, oldest first; no row if it can't be read, as if it were not there."""
+        return self.history(entity, predicate).join(self.facts().where((F.col("entity") == entity) & (F.col("predicate") == predicate)).select(F.lit(True).alias("on")).limit(1), how="left_semi")
+
+    def links(self) -> DataFrame:
+        """Reviewed links of entities to records: the last decision on each."""
+        e = self.readable().where("type = 'adjudicated'").select("entity", "ref", F.col("value").alias("status"), "recorded_at", "event_id")
+        return latest(e, ["entity", "ref"], "recorded_at", "event_id").select("entity", "ref", "status")
+
+    def pinned(self) -> DataFrame:
+        e = self.readable().where("type IN ('pinned', 'unpinned')").select("entity", "predicate", "type", "recorded_at", "event_id")
+        on = latest(e, ["entity", "predicate"], "recorded_at", "event_id").where("type = 'pinned'").select("entity", "predicate")
+        return self.facts().join(on, ["entity", "predicate"], "left_semi")
+
+    def reflections(self, word: str, limit: int = 5) -> DataFrame:
+        e = self.readable().where("type = 'reflected'").where(F.contains(F.lower("text"), F.lit(word.lower())) | F.contains(F.lower("value"), F.lit(word.lower())))
+        return e.select("event_id", F.col("text").alias("situation"), F.col("value").alias("lesson")).orderBy("event_id").limit(limit)
+
+    def goals(self) -> DataFrame:
+        return self.readable().where("type = 'goal'").select("event_id", "text", "recorded_at")
+
+    def expand(self, event_id: str) -> DataFrame:
+        """The whole text of an observation, by its id."""
+        return self.observed().where(F.col("event_id") == event_id).select("event_id", "actor", "text")
+
+    def plan_context(self, words: list[str], budget: int = 1500) -> DataFrame:
+        """What bears on a plan: ``kind, ref, text`` of context, pinned facts, reflections and goals."""
+        parts = [
+            self.get_context(words, budget).select(F.lit("context").alias("kind"), F.col("event_id").alias("ref"), "text"),
+            self.pinned().select(F.lit("pinned").alias("kind"), F.col("event_id").alias("ref"), F.concat_ws(" ", "entity", "predicate", "value").alias("text")),
+            self.goals().select(F.lit("goal").alias("kind"), F.col("event_id").alias("ref"), "text"),
+            *(self.reflections(w).select(F.lit("reflection").alias("kind"), F.col("event_id").alias("ref"), F.col("lesson").alias("text")) for w in words),
+        ]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.union(p)
+        return out.distinct()
+
     def what_user_knows(self) -> DataFrame:
         return self.readable().where("type = 'informed'").groupBy("entity", "predicate").agg(F.count(F.lit(1)).alias("times"))
 

@@ -7,18 +7,15 @@ and every ranked list is a top-k, which Spark keeps per task before it merges.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import load, query
+from .search import WORD, index_of
 
-K1, B = 1.2, 0.75  # fixed values of the ranking function
 RRF_K = 60
-WORD = r"[a-zàâäçéèêëîïôöùûüßáíóúñ]+"
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -41,33 +38,6 @@ def query_vector(vectors: DataFrame, vec_id: int) -> Column:
     return F.array(*(F.lit(float(x)) for x in row[0]))
 
 
-def terms(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Inverted index: ``term, doc, tf, dl``, counted map-side per document before any shuffle."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-    exploded = docs.select(F.col(doc_id).alias("doc"), words.alias("w")).select("doc", "w", F.explode("w").alias("term")).select("doc", F.size("w").alias("dl"), "term")
-    return exploded.groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def bm25(docs: DataFrame, words: list[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc, score`` of documents that have any of the words.
-
-    Term frequencies of a bounded word list are counted in the scan itself, so the corpus is not
-    exploded; document counts and the mean length are one global aggregate.
-    """
-    got = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-    rows = docs.select(F.col(doc_id).alias("doc"), got.alias("w")).select(
-        "doc", F.size("w").alias("dl"), *(F.size(F.filter("w", (lambda t: lambda x: x == t)(t))).alias(f"tf{i}") for i, t in enumerate(words))
-    )
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))))
-    j = rows.join(F.broadcast(stats))  # one row
-    score = F.lit(0.0)
-    for i in range(len(words)):
-        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
-        idf = F.log((F.col("n") - df + 0.5) / (df + 0.5) + 1)
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return j.select("doc", score.alias("score")).where("score > 0")
-
-
 def top(rows: DataFrame, k: int, score: str = "score", key: str = "doc") -> DataFrame:
     """The ``k`` best rows with their ``rank``: score descending, then id."""
     best = rows.orderBy(F.desc(score), key).limit(k)
@@ -124,37 +94,33 @@ def hashed_embedding(text: Column, dims: int = 256) -> Column:
     return vec
 
 
-def knn_blocks(vectors: DataFrame, queries: DataFrame, k: int, block: int = 256) -> DataFrame:
+def knn_blocks(vectors: DataFrame, queries: DataFrame, k: int, rows: int = 1 << 15, asked: int = 1 << 10) -> DataFrame:
     """The ``k`` nearest other vectors of each query row, exactly.
 
-    The queries are read in blocks of at most ``block`` rows; each block goes to every task, which
-    returns its own k best per query, and one aggregation per block merges them.
+    Vectors are dealt into parts of about ``rows``, queries into blocks of about ``asked``; every part meets
+    every block in one task, which returns its own k best for each query, and one window merges them.
     """
-    spark = vectors.sparkSession
-    ids = [r[0] for r in queries.select("vec_id").orderBy("vec_id").toLocalIterator()]
-    out = None
-    for a in range(0, max(1, len(ids)), block):
-        rows = queries.where(F.col("vec_id").isin(ids[a : a + block])).select("vec_id", "embedding").collect()
-        shared = spark.sparkContext.broadcast((np.array([r[0] for r in rows]), np.array([r[1] for r in rows], "f8")))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            qid, q = shared.value
-            q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-            for pdf in batches:
-                v = np.stack(pdf["embedding"].to_numpy()).astype("f8")
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                s = np.round(q @ v.T, 6)
-                s[qid[:, None] == pdf["vec_id"].to_numpy()[None, :]] = -2
-                ids = pdf["vec_id"].to_numpy()
-                for i in range(len(qid)):
-                    o = np.lexsort((ids, -s[i]))[:k]
-                    yield pd.DataFrame({"query": qid[i], "vec_id": ids[o], "sim": s[i][o]})
-
-        found = vectors.select("vec_id", "embedding").mapInPandas(run, "query long, vec_id long, sim double").where("sim > -2")
-        w = Window.partitionBy("query").orderBy(F.desc("sim"), "vec_id")
-        best = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        out = best if out is None else out.union(best)
-    return out
+    n, m = vectors.count(), queries.count()
+    parts, blocks = max(-(-n // rows), min(8, n // 500), 1), max(1, -(-m // asked))
+    deal = lambda df, own, count, other, others: df.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(count)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))).alias(other))
+    v, q = deal(vectors, "p", parts, "b", blocks), deal(queries, "b", blocks, "p", parts)
+
+    def run(key, v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(v) or not len(q):
+            return pd.DataFrame({"query": [], "vec_id": [], "sim": []})
+        a, b = (np.stack(x["embedding"].to_numpy()).astype("f8") for x in (q, v))
+        a, b = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) for x in (a, b))
+        qid, vid = q["vec_id"].to_numpy(), v["vec_id"].to_numpy()
+        s = np.round(a @ b.T, 6)
+        s[qid[:, None] == vid[None, :]] = -2
+        few = min(k, len(vid))
+        order = np.lexsort((np.broadcast_to(vid, s.shape), -s), axis=1)[:, :few]
+        out = pd.DataFrame({"query": np.repeat(qid, few), "vec_id": vid[order].ravel(), "sim": np.take_along_axis(s, order, 1).ravel()})
+        return out[out["sim"] > -2]
+
+    found = v.groupBy("p", "b").cogroup(q.groupBy("p", "b")).applyInPandas(run, "query long, vec_id long, sim double")
+    w = Window.partitionBy("query").orderBy(F.desc("sim"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 COS = "list_dot_product(a.embedding::DOUBLE[], q.embedding::DOUBLE[])/sqrt(list_dot_product(a.embedding::DOUBLE[],a.embedding::DOUBLE[]))/sqrt(list_dot_product(q.embedding::DOUBLE[],q.embedding::DOUBLE[]))"
@@ -173,14 +139,14 @@ def bm25_sql(words: list[str]) -> str:
 @query("t1_bm25_search", f"WITH {bm25_sql(['the', 'with', 'for'])} SELECT doc, round(score,6) AS score FROM bm25 WHERE score > 0 ORDER BY round(score,6) DESC, doc LIMIT 20")
 def t1(spark, d):
     """Full-text search by BM25, the 20 best."""
-    hits = bm25(load(spark, d, "documents"), ["the", "with", "for"]).select("doc", F.round("score", 6).alias("score"))
+    hits = index_of(spark, f"{d}/documents.parquet").bm25(["the", "with", "for"]).select("doc", F.round("score", 6).alias("score"))
     return hits.orderBy(F.desc("score"), "doc").limit(20)
 
 
 @query("t1_inverted_index", f"SELECT term, count(*) AS docs, sum(tf)::BIGINT AS uses FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{_W}')) AS term FROM documents) GROUP BY ALL) GROUP BY term HAVING count(*) > 1")
 def t1b(spark, d):
     """The index's document frequencies."""
-    t = terms(load(spark, d, "documents"))
+    t = index_of(spark, f"{d}/documents.parquet").postings.where("term IS NOT NULL")
     return t.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("uses")).where("docs > 1")
 
 
@@ -227,13 +193,22 @@ CENT = "cent AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings
 
 @query("v14_centroid_route", f"WITH {CENT}, s AS (SELECT e.vec_id, c.label AS route, sum(e.embedding[c.i]::DOUBLE*c.m)/sqrt(sum(c.m*c.m))/sqrt(sum(e.embedding[c.i]::DOUBLE*e.embedding[c.i]::DOUBLE)) AS sim FROM embeddings e, cent c GROUP BY ALL) SELECT vec_id, arg_max(route, (round(sim,6), -route)) AS route FROM s GROUP BY vec_id")
 def v14(spark, d):
-    """Each vector's nearest centroid; there is one centroid per label, so they are collected."""
+    """Each vector's nearest centroid: blocks of centroids meet the vectors by key, one aggregation picks the best."""
     e = load(spark, d, "embeddings")
     cells = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    cent = cells.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("c")).orderBy("label").limit(4096).collect()
-    sims = [F.struct(F.round(cosine(F.col("embedding"), F.array(*map(F.lit, r.c))), 6).alias("s"), F.lit(-r.label).alias("l")) for r in cent]
-    best = F.array_max(F.array(*sims))
-    return e.select("vec_id", best.alias("b")).select("vec_id", (-F.col("b.l")).alias("route"))
+    cent = cells.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("c"))
+    return nearest_centroid(e, cent)
+
+
+def nearest_centroid(e: DataFrame, cent: DataFrame, size: int = 256) -> DataFrame:
+    """``vec_id, route``: the label of the nearest row of ``cent`` (label, c), the smallest label on ties."""
+    blocks = max(1, -(-cent.count() // size))
+    own = cent.groupBy(F.pmod(F.xxhash64("label"), F.lit(blocks)).alias("b")).agg(F.collect_list(F.struct("label", "c")).alias("cs"))  # about ``size`` rows each
+    rows = e.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b")).join(own, "b")
+    unit = norm(F.col("embedding"))
+    sims = F.transform("cs", lambda x: F.struct(F.round(dot(F.col("embedding"), x["c"]) / norm(x["c"]) / unit, 6).alias("s"), (-x["label"]).alias("l")))
+    best = rows.select("vec_id", F.array_max(sims).alias("b")).groupBy("vec_id").agg(F.max("b").alias("b"))
+    return best.select("vec_id", (-F.col("b.l")).alias("route"))
 
 
 @query("a20_centroids", "SELECT label, i - 1 AS i, round(avg(embedding[i]::DOUBLE),6) AS m, count(*) AS n FROM embeddings, range(1,65) t(i) GROUP BY ALL")
@@ -243,20 +218,25 @@ def a20(spark, d):
     return e.groupBy("label", F.col("i").cast("long").alias("i")).agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("m"), F.count(F.lit(1)).alias("n"))
 
 
-@query("v15_novelty", f"SELECT q.vec_id, round(1 - greatest(0, max({COS})),4) AS novelty FROM embeddings q JOIN embeddings a ON a.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id")
+@query("v15_novelty", f"SELECT q.vec_id, round(1 - greatest(0, max({COS})),4) AS novelty FROM embeddings q JOIN embeddings a ON a.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0 GROUP BY q.vec_id")
 def v15(spark, d):
     """One less the similarity of the nearest other vector."""
     e = load(spark, d, "embeddings")
-    near = knn_blocks(e, e.where("vec_id % 50 = 0"), 1)
+    near = knn_blocks(e, e.where("vec_id % 100 = 0"), 1)
     return near.select(F.col("query").alias("vec_id"), F.round(1 - F.greatest(F.lit(0.0), "sim"), 4).alias("novelty"))
 
 
-@query("v16_supersede_candidates", f"SELECT a.vec_id AS old_id, q.vec_id AS new_id, round({COS},4) AS sim FROM embeddings a JOIN embeddings q ON a.label=q.label AND a.vec_id BETWEEN q.vec_id-50 AND q.vec_id-1 WHERE round({COS},6) >= 0.3")
+@query("v16_supersede_candidates", f"""WITH e AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings) SELECT a.vec_id AS old_id, q.vec_id AS new_id, round({COS},4) AS sim FROM e a JOIN e q ON a.label=q.label AND a.r BETWEEN q.r-50 AND q.r-1 WHERE round({COS},6) >= 0.3""")
 def v16(spark, d):
-    """Earlier vectors of the same entity (at most the 50 ids before) that are near enough."""
-    e = load(spark, d, "embeddings").withColumn("b", F.floor(F.col("vec_id") / 50))
-    old = e.select("label", F.explode(F.array(F.col("b"), F.col("b") + 1)).alias("b"), F.col("vec_id").alias("old_id"), F.col("embedding").alias("o"))
-    j = e.join(old, ["label", "b"]).where("old_id BETWEEN vec_id - 50 AND vec_id - 1")
+    """Of an entity's 50 facts before, those that are near enough.  Facts are numbered within the entity by counts of blocks of ids."""
+    e = load(spark, d, "embeddings").withColumn("c", F.floor(F.col("vec_id") / 1000))
+    n = e.groupBy("label", "c").agg(F.count(F.lit(1)).alias("n"))
+    before = n.select("label", "c", (F.sum("n").over(Window.partitionBy("label").orderBy("c")) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("label", "c").orderBy("vec_id"))
+    e = e.withColumn("p", place).join(before, ["label", "c"]).select("label", "vec_id", "embedding", (F.col("before") + F.col("p")).alias("r"))
+    e = e.withColumn("b", F.floor(F.col("r") / 50))
+    old = e.select("label", F.explode(F.array(F.col("b"), F.col("b") + 1)).alias("b"), F.col("r").alias("old_r"), F.col("vec_id").alias("old_id"), F.col("embedding").alias("o"))
+    j = e.join(old, ["label", "b"]).where("old_r BETWEEN r - 50 AND r - 1")
     s = j.select("old_id", F.col("vec_id").alias("new_id"), cosine(F.col("embedding"), F.col("o")).alias("sim")).where(F.round("sim", 6) >= 0.3)
     return s.withColumn("sim", F.round("sim", 4))
 
@@ -279,19 +259,21 @@ def w3(spark, d):
 
 
 def hybrid(spark, d, words, vec_id, k) -> DataFrame:
-    f = top(bm25(load(spark, d, "documents"), words).withColumn("score", F.round("score", 6)), k)
+    f = top(index_of(spark, f"{d}/documents.parquet").bm25(words).withColumn("score", F.round("score", 6)), k)
     e = load(spark, d, "embeddings")
     v = top(e.select(F.col("vec_id").alias("doc"), F.round(cosine(F.col("embedding"), query_vector(e, vec_id)), 6).alias("score")), k)
     return rrf([(0.4, f), (0.6, v)])
 
 
-@query("w6_rerank_blend", """WITH c AS (SELECT doc_id, n_chars::DOUBLE AS fused, (doc_id*37 % 101)/100.0 AS sim FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50),
-  m AS (SELECT *, (fused-min(fused) OVER ())/(max(fused) OVER ()-min(fused) OVER ()) AS f FROM c) SELECT doc_id, round(0.5*greatest(sim,0)+0.5*f,6) AS blended FROM m""")
+@query("w6_rerank_blend", f"""WITH c AS (SELECT d.doc_id, d.n_chars::DOUBLE AS fused, round({COS},6) AS sim FROM (SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50) d LEFT JOIN embeddings a ON a.vec_id=d.doc_id LEFT JOIN (SELECT embedding FROM embeddings WHERE vec_id=6) q ON true),
+  m AS (SELECT *, (fused-min(fused) OVER ())/(max(fused) OVER ()-min(fused) OVER ()) AS f FROM c) SELECT doc_id, round(CASE WHEN sim IS NULL THEN f ELSE 0.5*greatest(sim,0)+0.5*f END,6) AS blended FROM m""")
 def w6(spark, d):
-    """The head of a list reranked by a blend of its own score and similarity."""
-    head = load(spark, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("fused"), ((F.col("doc_id") * 37 % 101) / 100.0).alias("sim"))
-    head = head.orderBy(F.desc("fused"), "doc_id").limit(50)
-    return head.select("doc_id", F.round(0.5 * F.greatest("sim", F.lit(0.0)) + 0.5 * minmax("fused"), 6).alias("blended"))
+    """The 50 best of a list reranked by a blend of their own score and similarity; a row without a vector keeps its score."""
+    head = load(spark, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("fused")).orderBy(F.desc("fused"), "doc_id").limit(50)
+    e = load(spark, d, "embeddings")
+    near = e.join(F.broadcast(head), F.col("vec_id") == F.col("doc_id"), "right").withColumn("sim", F.when(F.col("embedding").isNotNull(), F.round(cosine(F.col("embedding"), query_vector(e, 6)), 6)))
+    blend = F.when(F.col("sim").isNull(), minmax("fused")).otherwise(0.5 * F.greatest("sim", F.lit(0.0)) + 0.5 * minmax("fused"))
+    return near.select("doc_id", F.round(blend, 6).alias("blended"))
 
 
 @query("w4_mmr_select")

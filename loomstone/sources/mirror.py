@@ -13,14 +13,20 @@ from ..plans.registry import load, query
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared checkpoint folder (a temporary one only where none is set)."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only where none is set and Spark is local."""
     sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not base:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-"))
-        base = sc.getCheckpointDir()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not sc.getCheckpointDir():
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-ckpt-"))
+    return (named or sc.getCheckpointDir()).rstrip("/")
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def write_mirror(events: DataFrame, folder: str) -> None:
@@ -33,15 +39,50 @@ def read_mirror(spark: SparkSession, folder: str, schema: str = EVENT_SCHEMA) ->
     return spark.read.schema(schema).option("mode", "PERMISSIVE").json(folder).drop("day").where("event_id IS NOT NULL")
 
 
-def read_only_sql(spark: SparkSession, sql: str, limit: int = 50) -> DataFrame:
-    """A single SELECT against the session's tables, at most ``limit`` rows.
+READS = frozenset(  # plan nodes of the parser that only read (fixed values)
+    "Project Filter Aggregate Sort GlobalLimit LocalLimit Distinct Join Union Intersect Except SubqueryAlias UnresolvedRelation "
+    "UnresolvedInlineTable UnresolvedHaving UnresolvedSubqueryColumnAliases UnresolvedWith With OneRowRelation Window Offset LateralJoin CTERelationRef UnresolvedOrderBy".split()
+)
+REFUSED = frozenset("reflect java_method try_reflect input_file_name assert_true raise_error".split())  # functions that reach beyond the rows
 
-    The parsed plan decides, not the text: commands and writes are refused.
+
+def read_only_sql(spark: SparkSession, sql: str, limit: int = 50, tables: frozenset[str] | None = None) -> DataFrame:
+    """A single SELECT against the session's tables (or those listed), at most ``limit`` rows.
+
+    The classes of the parsed plan decide, not its text: every node must be of READS, relations must be
+    plain names (a file path has two parts), and functions that reach beyond the rows are refused.
     """
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    names = plan.toString()
-    if any(x in names for x in ("Command", "Insert", "Create", "Drop", "Alter", "Truncate", "Delete", "Update", "Merge")):
-        raise ValueError("only queries are allowed")
+
+    def each(sequence):
+        return [sequence.apply(i) for i in range(sequence.size())]
+
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        if kind not in READS:
+            raise ValueError(f"only queries are allowed, not {kind}")
+        if kind == "UnresolvedRelation":
+            names = each(node.multipartIdentifier())
+            if len(names) > 1 or (tables is not None and names[0] not in tables):
+                raise ValueError(f"no such table: {'.'.join(names)}")
+        for e in each(node.expressions()):
+            inspect(e)
+        if kind == "UnresolvedWith":
+            for c in each(node.cteRelations()):
+                walk(c._2())
+        for child in each(node.children()):
+            walk(child)
+
+    def inspect(e):
+        kind = e.getClass().getSimpleName()
+        if kind == "UnresolvedFunction" and not REFUSED.isdisjoint(x.lower() for x in each(e.nameParts())):
+            raise ValueError("this function is not allowed")
+        if hasattr(e, "plan") and "Subquery" in kind or kind in ("Exists", "ListQuery"):
+            walk(e.plan())
+        for child in each(e.children()):
+            inspect(child)
+
+    walk(plan)
     return spark.sql(sql).limit(limit)
 
 
@@ -65,11 +106,11 @@ def s18(spark, d):
     return read_only_sql(spark, "SELECT event_type, count(*) AS n FROM _events_ro GROUP BY event_type ORDER BY event_type")
 
 
-@query("s25_directory_ingest", "SELECT sha256(substr(text,1,4000)) AS h, min(doc_id) AS first_id FROM documents GROUP BY 1")
+@query("s25_directory_ingest", "SELECT sha256(text) AS h, min(doc_id) AS first_id, substr(min_by(text, doc_id),1,4000) AS excerpt FROM documents GROUP BY 1")
 def s25(spark, d):
-    """Each record once by the hash of its first 4000 characters."""
-    docs = load(spark, d, "documents").select(F.sha2(F.substring("text", 1, 4000), 256).alias("h"), "doc_id")
-    return docs.groupBy("h").agg(F.min("doc_id").alias("first_id"))
+    """Each record once by the hash of its whole text, with an excerpt."""
+    docs = load(spark, d, "documents").select(F.sha2("text", 256).alias("h"), "doc_id", F.substring("text", 1, 4000).alias("excerpt"))
+    return docs.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.first("excerpt").alias("excerpt"))
 
 
 @query("s14_manifest_counts", "SELECT 'orders' AS t, count(*) AS n FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'customer', count(*) FROM customer")
