@@ -143,13 +143,6 @@ def t16(spark, d):
     return o.join(p, "o_orderkey").select("o_orderkey", "premises", "status")
 
 
-@query("t18_metacognitive_gate", "SELECT user_id, CASE WHEN max(value) IS NULL OR max(value) < 50 THEN 'verify' WHEN arg_max(event_type, (ts, event_id))='error' THEN 'draft' ELSE 'answer' END AS gate FROM events GROUP BY user_id")
-def t18(spark, d):
-    """Whether what is known is enough to answer."""
-    g = load(spark, d, "events").groupBy("user_id").agg(F.max("value").alias("m"), F.max_by("event_type", F.struct("ts", "event_id")).alias("last"))
-    return g.select("user_id", F.when(F.col("m").isNull() | (F.col("m") < 50), "verify").when(F.col("last") == "error", "draft").otherwise("answer").alias("gate"))
-
-
 @query("t20_reflections", "SELECT conv_id, turn FROM conversations WHERE contains(lower(text),'the') OR contains(lower(text),'der') ORDER BY conv_id, turn LIMIT 5")
 def t20(spark, d):
     """The first five that mention a word."""
@@ -167,13 +160,6 @@ def r10(spark, d):
     return c.select("event_id", status.alias("status"), "superseded_by")
 
 
-@query("r13_derived_facts", "SELECT user_id AS entity, CASE event_type WHEN 'purchase' THEN 'is_spender' ELSE 'has_trouble' END AS predicate, 'yes' AS value, CASE event_type WHEN 'purchase' THEN 0.75 ELSE 0.6 END::DOUBLE AS confidence FROM events WHERE (event_type='purchase' AND value > 50) OR (event_type='error' AND value > 80) GROUP BY user_id, event_type")
-def r13(spark, d):
-    """Every registered rule over all facts."""
-    facts = load(spark, d, "events").select(F.col("user_id").alias("entity"), F.col("event_type").alias("predicate"), "value")
-    return derive(facts)
-
-
 @query("r21_insert_beliefs", "SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS belief, count(*) AS provenance, CASE WHEN event_type='signup' THEN 'high' ELSE 'normal' END AS criticality FROM events GROUP BY user_id, event_type")
 def r21(spark, d):
     """Beliefs with provenance and criticality."""

@@ -194,12 +194,6 @@ def l9(spark, d):
     return s.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
 
 
-@query("r1_dispatch", "SELECT event_type, count(*) AS n, round(sum(value),2) AS total, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
-def r1(spark, d):
-    """Events by the handler they go to."""
-    return load(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"), F.count_distinct("user_id").alias("users"))
-
-
 @query("r5_conflict_policy", """WITH x AS (SELECT *, lag(k) OVER (PARTITION BY entity_id, predicate ORDER BY recorded_at, seq) AS old FROM (%s))
   SELECT seq, CASE WHEN old IS NULL THEN 'insert' WHEN old = k THEN 'confirm' WHEN predicate IN ('purchase','signup') THEN 'supersede' WHEN k >= old THEN 'refresh' ELSE 'draft' END AS action FROM x""" % LOG_SQL)
 def r5(spark, d):
@@ -244,20 +238,6 @@ def r12(spark, d):
     return docs.join(docs.where("doc_id % 10 = 0").select("h").distinct(), "h", "left_anti").select("doc_id")
 
 
-@query("r14_informed", "SELECT sha256(lower(text)) AS h, count(*) AS times FROM conversations WHERE role='assistant' GROUP BY 1")
-def r14(spark, d):
-    """How often each proposition was told."""
-    c = load(spark, d, "conversations").where("role='assistant'")
-    return c.groupBy(F.sha2(F.lower("text"), 256).alias("h")).agg(F.count(F.lit(1)).alias("times"))
-
-
-@query("r15_grants_folded", "SELECT user_id, CAST(json_extract_string(props,'$.k') AS BIGINT) % 7 AS principal, arg_max(event_type, event_id)='purchase' AS granted FROM events WHERE event_type IN ('purchase','error') GROUP BY 1,2")
-def r15(spark, d):
-    """Ordered set updates: the last operation of each principal decides."""
-    e = load(spark, d, "events").where("event_type IN ('purchase','error')").withColumn("principal", F.get_json_object("props", "$.k").cast("long") % 7)
-    return e.groupBy("user_id", "principal").agg((F.max_by("event_type", "event_id") == "purchase").alias("granted"))
-
-
 @query("r22_credential_mask", r"""SELECT doc_id, regexp_replace(text, '(token|password|secret)(\s*[=:]\s*"?)[A-Za-z0-9]{6,}', '\1\2***', 'g') AS masked FROM documents WHERE regexp_matches(text, '(token|password|secret)\s*[=:]\s*"?[A-Za-z0-9]{6,}')""")
 def r22(spark, d):
     """Assigned values are masked before storing."""
