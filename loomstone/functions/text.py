@@ -12,7 +12,6 @@ from ..plans.registry import load, query
 
 #: Small closed word lists (fixed values).
 STOP = ("the", "of", "and", "to", "in", "is", "it", "for", "that", "with")
-CRITICAL = (("critical", r"\b(allerg\w*|emergency|medication)\b"), ("high", r"\b(must|never|always|deadline)\b"))
 
 
 def word_tokens(text: Column) -> Column:
@@ -82,25 +81,6 @@ def truncate_at_boundary(text: Column, n: int) -> Column:
     return F.when(F.length(text) <= n, text).when(at_sentence != "", F.rtrim(at_sentence)).otherwise(F.rtrim(at_blank))
 
 
-def chunks(text: Column, size: int) -> Column:
-    """Lossless pieces of at most ``size`` characters."""
-    n = F.greatest(F.ceil(F.length(text) / size).cast("int"), F.lit(1))
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, i * size + 1, F.lit(size)))
-
-
-def keep_score(recency: Column, focus: Column, salience: Column, critical: Column) -> Column:
-    """weighted sum of recency, focus, salience and criticality, at most 1."""
-    return F.least(F.lit(1.0), 0.20 * recency + 0.35 * focus + 0.20 * salience + 0.20 * critical)
-
-
-def criticality(text: Column) -> Column:
-    """the strictest rule that matches."""
-    out = F.lit("normal")
-    for name, pattern in reversed(CRITICAL):
-        out = F.when(F.lower(text).rlike(pattern), name).otherwise(out)
-    return out
-
-
 def phone_key(text: Column) -> Column:
     """digits only, a leading US 1 of eleven goes, at least seven remain."""
     digits = F.regexp_replace(text, "[^0-9]", "")
@@ -163,33 +143,6 @@ def f9(spark, d):
     return load(spark, d, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit("[a-z,] ([A-Z][a-z]+)"), F.lit(0))).cast("long").alias("n"))
 
 
-@query("f10_keep_score", "SELECT doc_id, round(least(1.0, 0.2*(doc_id % 10)/10.0 + 0.35*least(1.0, n_chars/5000.0) + 0.2*(CASE WHEN lang='en' THEN 1.0 ELSE 0.5 END) + 0.2*(doc_id % 2)),6) AS score FROM documents")
-def f10(spark, d):
-    """F10/W15."""
-    s = keep_score((F.col("doc_id") % 10) / 10.0, F.least(F.lit(1.0), F.col("n_chars") / 5000.0), F.when(F.col("lang") == "en", 1.0).otherwise(0.5), (F.col("doc_id") % 2).cast("double"))
-    return load(spark, d, "documents").select("doc_id", F.round(s, 6).alias("score"))
-
-
-@query("f11_criticality", r"SELECT turn, conv_id, CASE WHEN regexp_matches(lower(text),'\b(allerg\w*|emergency|medication)\b') THEN 'critical' WHEN regexp_matches(lower(text),'\b(must|never|always|deadline)\b') THEN 'high' ELSE 'normal' END AS level FROM conversations")
-def f11(spark, d):
-    """F11/F13/L23."""
-    return load(spark, d, "conversations").select("turn", "conv_id", criticality(F.col("text")).alias("level"))
-
-
-@query("f12_involatile", r"SELECT doc_id, len(regexp_extract_all(text, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+')) AS ips, len(regexp_extract_all(text, '[0-9a-f]{12,}')) AS hashes, len(regexp_extract_all(text, '\+?[0-9][0-9 ().-]{6,}[0-9]')) AS numbers FROM documents")
-def f12(spark, d):
-    """spans that must survive shortening."""
-    n = lambda p: F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0))).cast("long")
-    return load(spark, d, "documents").select("doc_id", n(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+").alias("ips"), n("[0-9a-f]{12,}").alias("hashes"), n(r"\+?[0-9][0-9 ().-]{6,}[0-9]").alias("numbers"))
-
-
-@query("f15_passages", "SELECT doc_id, i::INTEGER AS i, sha256(substr(text, i*1000+1, 1000)) AS h FROM documents, range(0, greatest(1, CAST(ceil(length(text)/1000.0) AS BIGINT))) t(i)")
-def f15(spark, d):
-    """Passages of each record."""
-    c = load(spark, d, "documents").select("doc_id", F.posexplode(chunks(F.col("text"), 1000)).alias("i", "c"))
-    return c.select("doc_id", "i", F.sha2("c", 256).alias("h"))
-
-
 @query("f18_token_estimate", "SELECT doc_id, ceil(length(text)/4.0)::BIGINT AS tokens FROM documents")
 def f18(spark, d):
     """F18."""
@@ -226,16 +179,6 @@ def f29(spark, d):
     return load(spark, d, "documents").select("doc_id", stable_id(F.col("text")).alias("sid"))
 
 
-@query("f30_time_window", "SELECT o_orderkey, CASE WHEN o_orderdate >= TIMESTAMP '1997-12-01' AND o_orderdate < TIMESTAMP '1998-01-01' THEN 'last month' WHEN o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1998-01-01' THEN 'last year' ELSE 'other' END AS win FROM orders")
-def f30(spark, d):
-    """relative phrases resolved against a fixed now (1998-01-15), applied as range predicates."""
-    now = F.lit("1998-01-15").cast("date")
-    month, year = F.trunc(now, "month"), F.trunc(now, "year")
-    t = F.col("o_orderdate").cast("date")
-    win = F.when((t >= F.add_months(month, -1)) & (t < month), "last month").when((t >= F.add_months(year, -12)) & (t < year), "last year").otherwise("other")
-    return load(spark, d, "orders").select("o_orderkey", win.alias("win"))
-
-
 @query("f31_age_days", "SELECT o_orderkey, round(coalesce(epoch(TIMESTAMP '1998-08-02') - epoch(o_orderdate),0)/86400.0,6) AS age FROM orders")
 def f31(spark, d):
     """F31/F53."""
@@ -288,21 +231,6 @@ def f42(spark, d):
     return e.select("event_type", "user_id", F.concat(F.lit("What is the "), "event_type", F.lit(" of "), F.col("user_id").cast("string"), F.lit("?")).alias("question"))
 
 
-@query("f44_attributed_lines", "SELECT conv_id, turn, CASE role WHEN 'user' THEN 'USER' WHEN 'assistant' THEN 'ASSISTANT' ELSE 'SYSTEM' END || ': ' || split_part(text, chr(10), 1) AS line FROM conversations WHERE role <> 'system'")
-def f44(spark, d):
-    """Lines with their speakers, system lines left out."""
-    c = load(spark, d, "conversations").where("role <> 'system'")
-    return c.select("conv_id", "turn", F.concat(F.upper("role"), F.lit(": "), F.substring_index("text", "\n", 1)).alias("line"))
-
-
-@query("f48_extract_facts", r"SELECT doc_id, regexp_extract(text, '(\w+) is (?:a|an|the) (\w+)', 1) AS subject, regexp_extract(text, '(\w+) is (?:a|an|the) (\w+)', 2) AS object FROM documents WHERE regexp_matches(text, '(\w+) is (?:a|an|the) (\w+)') AND lang='en'")
-def f48(spark, d):
-    """The first statement of identity in a text."""
-    p = r"(\w+) is (?:a|an|the) (\w+)"
-    x = load(spark, d, "documents").where((F.col("lang") == "en") & F.col("text").rlike(p))
-    return x.select("doc_id", F.regexp_extract("text", p, 1).alias("subject"), F.regexp_extract("text", p, 2).alias("object"))
-
-
 @query("f52_truncate", r"""SELECT doc_id, CASE WHEN length(text) <= 300 THEN text WHEN regexp_extract(substr(text,1,300),'(?s)^(.*[.!?\n])',1) <> '' THEN regexp_replace(regexp_extract(substr(text,1,300),'(?s)^(.*[.!?\n])',1),' +$','') ELSE regexp_replace(regexp_extract(substr(text,1,300),'(?s)^(.*)\s',1),' +$','') END AS head FROM documents""")
 def f52(spark, d):
     """F52/W17."""
