@@ -223,14 +223,6 @@ def w19(spark, d):
     return capped(s, ["label"], 1, F.desc("sim"), F.col("vec_id")).select("label", "vec_id", F.round(0.5 * F.col("sim"), 6).alias("score"))
 
 
-@query("j10_linked_import", "SELECT c.c_custkey AS entity, s.s_suppkey AS external_ref, 'same_nation_balance' AS method FROM customer c JOIN supplier s ON c.c_nationkey=s.s_nationkey AND floor(c.c_acctbal/500)=floor(s.s_acctbal/500)")
-def j10(spark, d):
-    """Mention rows from configured SQL over registered tables."""
-    load(spark, d, "customer").createOrReplaceTempView("_link_customer")
-    load(spark, d, "supplier").createOrReplaceTempView("_link_supplier")
-    return spark.sql("SELECT c.c_custkey AS entity, s.s_suppkey AS external_ref, 'same_nation_balance' AS method FROM _link_customer c JOIN _link_supplier s ON c.c_nationkey=s.s_nationkey AND floor(c.c_acctbal/500)=floor(s.s_acctbal/500)")
-
-
 @query("u8_retract_set", "SELECT event_id FROM events WHERE event_id NOT IN (SELECT event_id FROM events WHERE event_type='error')")
 def u8(spark, d):
     """Rows without a set of retracted ids."""

@@ -91,20 +91,6 @@ def p1(spark, d):
     return r.where(can_read(F.col("owner"), me, mode, F.when(k % 5 == 0, F.array(me)).otherwise(none), F.when(k % 7 == 0, F.array(me)).otherwise(none), k % 11 == 0))
 
 
-@query("p2_topology_ceiling", "SELECT c.c_custkey, n.n_name FROM customer c JOIN nation n ON c.c_nationkey=n.n_nationkey WHERE n.n_regionkey IN (1,2)")
-def p2(spark, d):
-    """Owners that a reader's edges allow (nation is a fixed table of 25 rows)."""
-    edges = load(spark, d, "nation").where("n_regionkey IN (1,2)").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    return load(spark, d, "customer").join(F.broadcast(edges), "c_nationkey").select("c_custkey", "n_name")
-
-
-@query("p9_subject_grounding", "SELECT event_id, CASE WHEN event_type LIKE '%.%' OR event_type LIKE 'attr\\_%' ESCAPE '\\' OR user_id IS NULL THEN 'quarantine' ELSE 'ok' END AS verdict FROM events")
-def p9(spark, d):
-    """Rows whose subject or predicate is not grounded go to quarantine."""
-    bad = F.contains("event_type", F.lit(".")) | F.startswith("event_type", F.lit("attr_")) | F.col("user_id").isNull()
-    return load(spark, d, "events").select("event_id", F.when(bad, "quarantine").otherwise("ok").alias("verdict"))
-
-
 @query("p10_abandoned_branch", "SELECT c.conv_id, c.turn FROM conversations c JOIN (SELECT conv_id, max(turn) - 1 AS keep FROM conversations GROUP BY conv_id) k USING (conv_id) WHERE c.turn <= k.keep")
 def p10(spark, d):
     """P10: rows after a session's branch point are left out."""
@@ -112,19 +98,6 @@ def p10(spark, d):
     return c.join(c.groupBy("conv_id").agg((F.max("turn") - 1).alias("keep")), "conv_id").where("turn <= keep").select("conv_id", "turn")
 
 
-@query("p14_exhaust_filter", "SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(license|terms of|token)') AND n_chars > 100")
-def p14(spark, d):
-    """Marker predicates over text."""
-    return load(spark, d, "documents").where((F.col("n_chars") > 100) & F.lower("text").rlike("(license|terms of|token)")).select("doc_id")
-
-
-@query("j2_left_outer_exclusion", "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.source IS NULL OR NOT starts_with(d.source, 'src1')")
-def j2(spark, d):
-    """Hits with their rows, without some sessions."""
-    docs = load(spark, d, "documents").where("source IS NULL OR NOT startswith(source, 'src1')").select("doc_id")
-    return docs.join(load(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
-
-
 @query("j3_unextracted", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality=1)")
 def j3(spark, d):
     """Rows without an extraction at this version."""
@@ -155,13 +128,6 @@ def j7(spark, d):
     return identifier_join(m.select("doc_id", "key"), m.select("key", F.col("source").alias("entity")), "key", "entity").select("doc_id", "key", "entity")
 
 
-@query("j9_ambiguous_duplicates", "SELECT p_name, count(DISTINCT p_partkey) AS n, min(p_partkey) AS anchor FROM part GROUP BY p_name HAVING count(DISTINCT p_partkey) > 1 AND count(DISTINCT p_brand) >= 1")
-def j9(spark, d):
-    """Keys that several entities of one store share."""
-    g = load(spark, d, "part").groupBy("p_name").agg(F.count_distinct("p_partkey").alias("n"), F.min("p_partkey").alias("anchor"))
-    return g.where("n > 1")
-
-
 @query("j11_entity_records", "SELECT c.c_custkey, o.o_orderkey, coalesce(o.o_orderdate, TIMESTAMP '1970-01-01') AS at FROM customer c JOIN orders o ON o.o_custkey=c.c_custkey QUALIFY row_number() OVER (PARTITION BY c.c_custkey ORDER BY o.o_orderdate DESC, o.o_orderkey) <= 5")
 def j11(spark, d):
     """The newest records of an entity."""
@@ -199,22 +165,6 @@ def j13(spark, d):
     return j.select("a.s", F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"), F.round(F.least(F.lit(0.75), 0.9 * F.least("a.v", "b.v") / 200000.0), 6).alias("confidence"))
 
 
-@query("j14_transitive_location", "SELECT c.c_custkey, r.r_name AS located FROM customer c JOIN nation n ON c.c_nationkey=n.n_nationkey JOIN region r ON n.n_regionkey=r.r_regionkey")
-def j14(spark, d):
-    """Location carried up its containment chain."""
-    n = load(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("r_regionkey"))
-    chain = n.join(F.broadcast(load(spark, d, "region").select("r_regionkey", F.col("r_name").alias("located"))), "r_regionkey")  # 25 nations, 5 regions
-    return load(spark, d, "customer").join(F.broadcast(chain), "c_nationkey").select("c_custkey", "located")
-
-
-@query("j16_merge_candidates", "SELECT c_custkey, min(c_custkey) OVER (PARTITION BY lower(trim(c_mktsegment)), c_nationkey) AS anchor FROM customer QUALIFY c_custkey <> anchor")
-def j16(spark, d):
-    """Rows of one normalised name, each with the smallest id as anchor."""
-    c = load(spark, d, "customer").select("c_custkey", F.lower(F.trim("c_mktsegment")).alias("name"), "c_nationkey")
-    anchors = c.groupBy("name", "c_nationkey").agg(F.min("c_custkey").alias("anchor"))
-    return c.join(anchors, ["name", "c_nationkey"]).where("c_custkey <> anchor").select("c_custkey", "anchor")
-
-
 GRAPH = "SELECT 'c' || c_custkey AS a, 'n' || c_nationkey AS b FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation"
 
 
