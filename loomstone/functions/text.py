@@ -137,12 +137,6 @@ def f5(spark, d):
     return w.select("w", stem(F.col("w")).alias("stem"))
 
 
-@query("f9_proper_nouns", r"SELECT doc_id, len(regexp_extract_all(text, '[a-z,] ([A-Z][a-z]+)')) AS n FROM documents")
-def f9(spark, d):
-    """Capitalised words that don't begin a sentence."""
-    return load(spark, d, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit("[a-z,] ([A-Z][a-z]+)"), F.lit(0))).cast("long").alias("n"))
-
-
 @query("f18_token_estimate", "SELECT doc_id, ceil(length(text)/4.0)::BIGINT AS tokens FROM documents")
 def f18(spark, d):
     """F18."""
@@ -185,14 +179,6 @@ def f31(spark, d):
     return load(spark, d, "orders").select("o_orderkey", F.round(age_days(F.col("o_orderdate").cast("timestamp"), "1998-08-02 00:00:00"), 6).alias("age"))
 
 
-@query("f32_cron_prev", "SELECT event_id, date_trunc('hour', ts) - INTERVAL (CAST(date_part('hour', ts) AS BIGINT) % 6) HOUR AS prev_fire FROM events")
-def f32(spark, d):
-    """The last firing of ``0 */6 * * *`` before each event."""
-    hour = F.date_trunc("hour", F.col("ts").cast("timestamp"))
-    back = F.make_dt_interval(F.lit(0), F.hour("ts") % 6)
-    return load(spark, d, "events").select("event_id", (hour - back).cast("timestamp_ntz").alias("prev_fire"))
-
-
 @query("f35_phone_keys", r"SELECT doc_id, k FROM (SELECT doc_id, CASE WHEN length(x)=11 AND x LIKE '1%' THEN substr(x,2,10) ELSE x END AS k FROM (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(text,'\+[0-9][0-9 ().-]{6,}[0-9]')),'[^0-9]','','g') AS x FROM documents)) WHERE length(k) >= 7")
 def f35(spark, d):
     """phone keys."""
@@ -224,13 +210,6 @@ def f40(spark, d):
     return load(spark, d, "customer").select("c_custkey", F.substring(F.concat_ws("; ", *map(pair, ("c_name", "c_mktsegment", "c_nationkey"))), 1, 350).alias("body"))
 
 
-@query("f42_doc2query", "SELECT DISTINCT event_type, user_id, 'What is the ' || event_type || ' of ' || user_id || '?' AS question FROM events WHERE user_id % 10 = 0")
-def f42(spark, d):
-    """Template questions of a fact."""
-    e = load(spark, d, "events").where("user_id % 10 = 0").select("event_type", "user_id").distinct()
-    return e.select("event_type", "user_id", F.concat(F.lit("What is the "), "event_type", F.lit(" of "), F.col("user_id").cast("string"), F.lit("?")).alias("question"))
-
-
 @query("f52_truncate", r"""SELECT doc_id, CASE WHEN length(text) <= 300 THEN text WHEN regexp_extract(substr(text,1,300),'(?s)^(.*[.!?\n])',1) <> '' THEN regexp_replace(regexp_extract(substr(text,1,300),'(?s)^(.*[.!?\n])',1),' +$','') ELSE regexp_replace(regexp_extract(substr(text,1,300),'(?s)^(.*)\s',1),' +$','') END AS head FROM documents""")
 def f52(spark, d):
     """F52/W17."""

@@ -98,13 +98,6 @@ def v12(spark, d):
     return near.select("vec_id", F.round(F.col("c") + product(rest, q_rest), 5).alias("sim")).orderBy(F.desc("sim"), "vec_id").limit(10)
 
 
-@query("v22_tag_classes", "SELECT vec_id, CASE WHEN len(embedding) <> 64 THEN 'reembed' WHEN label % 2 = 0 THEN 'ok' ELSE 'retag' END AS action FROM embeddings")
-def v22(spark, d):
-    """What a vector's tag and width call for."""
-    action = F.when(F.size("embedding") != 64, "reembed").when(F.col("label") % 2 == 0, "ok").otherwise("retag")
-    return load(spark, d, "embeddings").select("vec_id", action.alias("action"))
-
-
 @query("t8_read_and_answer")
 def t8(spark, d):
     """The best documents for a question and the sentence of each that answers it (ranked text, tested by brute force)."""
@@ -113,18 +106,6 @@ def t8(spark, d):
     return docs.join(F.broadcast(hits), F.col("doc_id") == F.col("doc")).select("doc_id", "rank", best_sentence(F.col("text"), ["with", "for", "that"]).alias("answer"))
 
 
-@query("t13_static_block", """SELECT 'fact' AS kind, user_id, event_type AS predicate, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) AS r FROM events WHERE event_type IN ('signup','purchase')) WHERE r = 1
-  UNION ALL SELECT 'alert', user_id, event_type, value FROM (SELECT * FROM events WHERE event_type='error' ORDER BY value DESC, event_id LIMIT 5)""")
-def t13(spark, d):
-    """Profile facts, the first of each attribute, and the five worst alerts."""
-    e = load(spark, d, "events")
-    w = Window.partitionBy("user_id", "event_type").orderBy(F.desc("value"), "event_id")
-    facts = e.where("event_type IN ('signup','purchase')").withColumn("r", F.row_number().over(w)).where("r = 1")
-    alerts = e.where("event_type = 'error'").orderBy(F.desc("value"), "event_id").limit(5)
-    cols = lambda k: [F.lit(k).alias("kind"), "user_id", F.col("event_type").alias("predicate"), "value"]
-    return facts.select(*cols("fact")).union(alerts.select(*cols("alert")))
-
-
 @query("t14_ask_about", "SELECT c.c_custkey, c.c_name, n.n_name, count(o.o_orderkey) AS orders, round(coalesce(sum(o.o_totalprice),0),2) AS spent FROM customer c JOIN nation n ON c.c_nationkey=n.n_nationkey LEFT JOIN orders o ON o.o_custkey=c.c_custkey GROUP BY ALL")
 def t14(spark, d):
     """An entity with its place and the digest of its records; records are summed before the join."""
@@ -179,15 +160,6 @@ def l24(spark, d):
     return out
 
 
-@query("l25_policy_challenger", "SELECT lang, round(avg(quality),6) AS challenger, round(avg(CASE WHEN n_chars > 500 THEN 1 ELSE 0 END),6) AS champion, avg(quality) > avg(CASE WHEN n_chars > 500 THEN 1 ELSE 0 END) AS beats FROM documents JOIN labels USING (doc_id) GROUP BY lang")
-def l25(spark, d):
-    """A policy replaces another only where it does better."""
-    j = load(spark, d, "documents").select("doc_id", "lang", "n_chars").join(load(spark, d, "labels").select("doc_id", "quality"), "doc_id")
-    champion = F.avg(F.when(F.col("n_chars") > 500, 1).otherwise(0))
-    g = j.groupBy("lang").agg(F.avg("quality").alias("a"), champion.alias("b"))
-    return g.select("lang", F.round("a", 6).alias("challenger"), F.round("b", 6).alias("champion"), (F.col("a") > F.col("b")).alias("beats"))
-
-
 @query("x9_reply_validator", "SELECT event_id, CAST(json_extract_string(props,'$.k') AS BIGINT) AS k, CAST(json_extract_string(props,'$.k') AS BIGINT) BETWEEN 0 AND 80 AS valid FROM events")
 def x9(spark, d):
     """Replies parsed by a strict schema; what doesn't fit is invalid."""

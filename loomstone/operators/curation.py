@@ -258,14 +258,6 @@ def a19(spark, d):
     return g.select("user_id", F.concat(F.array_join(F.slice("xs", 1, 5), "; "), more).alias("digest"))
 
 
-@query("a22_pattern_mining", "SELECT role, word, count(*) AS support, round(least(0.95, 0.5 + 0.08*count(*) + 0.03*count(DISTINCT conv_id)),6) AS confidence FROM (SELECT conv_id, role, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{6,}'))) AS word FROM conversations) GROUP BY role, word HAVING count(*) >= 2")
-def a22(spark, d):
-    """Words that recur over turns, with support by turn and session."""
-    c = load(spark, d, "conversations").select("conv_id", "role", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0)))).alias("word"))
-    g = c.groupBy("role", "word").agg(F.count(F.lit(1)).alias("support"), F.count_distinct("conv_id").alias("s")).where("support >= 2")
-    return g.select("role", "word", "support", F.round(F.least(F.lit(0.95), 0.5 + 0.08 * F.col("support") + 0.03 * F.col("s")), 6).alias("confidence"))
-
-
 @query("a25_apportionment", """WITH w AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1), q AS (SELECT event_type, n, 100*n//(SELECT sum(n) FROM w) AS base, (100*n)%(SELECT sum(n) FROM w) AS rest FROM w)
   SELECT event_type, (base + CASE WHEN row_number() OVER (ORDER BY rest DESC, event_type) <= 100 - sum(base) OVER () THEN 1 ELSE 0 END)::BIGINT AS quota FROM q""")
 def a25(spark, d):
@@ -285,15 +277,6 @@ def l5(spark, d):
     return e.groupBy("task", "payload").agg(F.min("event_id").alias("job")).join(running, ["task", "payload"], "left_anti")
 
 
-@query("l7_lease_reclaim", "SELECT event_id, CASE WHEN event_type='error' AND value > 80 THEN 'failed' WHEN ts < (SELECT max(ts) - INTERVAL 900 SECOND FROM events) THEN 'pending' ELSE 'running' END AS status FROM events")
-def l7(spark, d):
-    """Leases that ran out go back to pending, or fail after too many tries."""
-    e = load(spark, d, "events")
-    t = e.agg((F.max("ts") - F.expr("INTERVAL 900 SECONDS")).alias("t"))
-    s = F.when((F.col("event_type") == "error") & (F.col("value") > 80), "failed").when(F.col("ts") < F.col("t"), "pending").otherwise("running")
-    return e.join(F.broadcast(t)).select("event_id", s.alias("status"))
-
-
 @query("l11_decay", """SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1-%' OR age <= 90 THEN 'verbatim' WHEN age <= 180 THEN 'gist' WHEN age <= 360 THEN 'parametric_only' ELSE 'tombstone' END AS fidelity FROM (SELECT *, datediff('day', o_orderdate, TIMESTAMP '1998-08-02') AS age FROM orders)""")
 def l11(spark, d):
     """Fidelity goes down the ladder with age; critical rows stay."""
@@ -327,15 +310,3 @@ def l22(spark, d):
     return c.where("used <= 2000").select("conv_id", "turn")
 
 
-@query("l19_compaction", """WITH c AS (SELECT conv_id, turn, length(text) AS cost, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
-  m AS (SELECT *, sum(cost) OVER (PARTITION BY conv_id ORDER BY cost DESC, turn ROWS UNBOUNDED PRECEDING) AS used FROM c WHERE i > 1 AND i < n)
-  SELECT conv_id, turn, CASE WHEN i=1 OR i=n THEN 'protected' ELSE 'x' END AS fate FROM c WHERE i=1 OR i=n UNION ALL SELECT conv_id, turn, CASE WHEN used <= 1500 THEN 'kept' ELSE 'folded' END FROM m""")
-def l19(spark, d):
-    """Head and tail of a session are protected, the middle is kept by score within a budget."""
-    w = Window.partitionBy("conv_id")
-    c = load(spark, d, "conversations").select("conv_id", "turn", F.length("text").alias("cost"))
-    c = c.withColumn("i", F.row_number().over(w.orderBy("turn"))).withColumn("n", F.count(F.lit(1)).over(w))
-    ends = c.where("i = 1 OR i = n").select("conv_id", "turn", F.lit("protected").alias("fate"))
-    used = F.sum("cost").over(w.orderBy(F.desc("cost"), "turn").rowsBetween(Window.unboundedPreceding, 0))
-    mid = c.where("i > 1 AND i < n").withColumn("used", used)
-    return ends.union(mid.select("conv_id", "turn", F.when(F.col("used") <= 1500, "kept").otherwise("folded").alias("fate")))

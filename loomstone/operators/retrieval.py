@@ -352,14 +352,6 @@ def w16(spark, d):
     return p.where("before < 20000").select("source", "doc_id", F.least("n_chars", 20000 - F.col("before")).alias("taken"))
 
 
-@query("w21_breadth_floor", "WITH g AS (SELECT source, sum(n_chars)::BIGINT AS need FROM documents GROUP BY source), r AS (SELECT *, row_number() OVER (ORDER BY need DESC, source) AS i, count(*) OVER () AS n FROM g) SELECT source, least(need, 100000 // n)::BIGINT AS share FROM r")
-def w21(spark, d):
-    """Every group gets a fair share of the budget at most."""
-    g = load(spark, d, "documents").groupBy("source").agg(F.sum("n_chars").alias("need"))
-    n = g.agg(F.count(F.lit(1)).alias("n"))
-    return g.join(F.broadcast(n)).select("source", F.least("need", F.floor(F.lit(100000) / F.col("n"))).cast("long").alias("share"))
-
-
 @query("w22_last_identical", "SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn DESC) = 1")
 def w22(spark, d):
     """Of identical outputs only the newest stays."""
@@ -367,25 +359,6 @@ def w22(spark, d):
     return c.groupBy("conv_id", "role", "text").agg(F.max("turn").alias("turn")).select("conv_id", "turn", "role")
 
 
-@query("w23_temporal_boost", """SELECT event_id, round(0.4/(60+i)*CASE WHEN ts >= hi - INTERVAL 7 DAY THEN 1.5 ELSE 0.75 END,8) AS score FROM (SELECT event_id, ts, row_number() OVER (ORDER BY value DESC, event_id) AS i FROM events ORDER BY value DESC, event_id LIMIT 40), (SELECT max(ts) AS hi FROM events)""")
-def w23(spark, d):
-    """Ranks boosted inside the time window and lowered outside."""
-    e = load(spark, d, "events")
-    best = e.select("event_id", "ts", "value").orderBy(F.desc("value"), "event_id").limit(40)
-    best = best.withColumn("i", F.row_number().over(Window.orderBy(F.desc("value"), "event_id")))
-    hi = e.agg((F.max("ts") - F.expr("INTERVAL 7 DAYS")).alias("lo"))
-    boost = F.when(F.col("ts") >= F.col("lo"), 1.5).otherwise(0.75)
-    return best.join(F.broadcast(hi)).select("event_id", F.round(0.4 / (60 + F.col("i")) * boost, 8).alias("score"))
-
-
-@query("t7_support_gate", f"SELECT doc_id, round(len(list_intersect(list_distinct(regexp_extract_all(lower(text), '{_W}')), ['the','of','tion','ment','keit']))/5.0,6) AS support FROM documents WHERE len(list_intersect(list_distinct(regexp_extract_all(lower(text), '{_W}')), ['the','of','tion','ment','keit'])) >= 2")
-def t7(spark, d):
-    """Share of the question's words that a document covers."""
-    q = F.array(*map(F.lit, ["the", "of", "tion", "ment", "keit"]))
-    both = F.size(F.array_intersect(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)), q))
-    return load(spark, d, "documents").select("doc_id", both.alias("n")).where("n >= 2").select("doc_id", F.round(F.col("n") / 5.0, 6).alias("support"))
-
-
 @query("v17_answer_support", f"SELECT a.label, round(max({COS}),5) AS best, max(round({COS},6)) >= 0.3 AS supported FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id=9) q WHERE a.vec_id <> 9 GROUP BY a.label")
 def v17(spark, d):
     """Whether any evidence is near enough to an answer."""
