@@ -77,3 +77,16 @@ def test_nulls_repeats_and_empty(spark):
     out = P.find_personal(spark.createDataFrame(rows, SCHEMA))
     assert out.where(F.size("found") == 1).count() == 2 and out.count() == 3
     assert P.find_personal(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_account_numbers_by_country_and_context_of_whole_words(spark):
+    texts = [
+        "pay to DE89 3704 0044 0532 0130 00 BIC COBADEFF", "DE89370400440532013000", "DE89 3704 0044 0532 0130 01", "XX89 3704 0044 0532 0130 00",
+        "ssn 123-45-6789", "ssn 666-45-6789", "ssn 123-00-6789", "the hotel +1 212 555 0100", "tel +1 212 555 0100", "+1 212 555 0100 is my phone", "border 123-45-6789 identity",
+    ]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, found string")
+    got = {r.doc_id: {x.k: (x.s, x.e, x.score) for x in r.found} for r in P.find_personal(df).collect()}
+    assert got[0]["iban"][:2] == (7, 34) and "iban" in got[1] and "iban" not in got[2] and "iban" not in got[3]
+    assert "id" in got[4] and "id" not in got[5] and "id" not in got[6]
+    assert got[7]["phone"][2] == 0.6 and got[8]["phone"][2] == 1.0 and got[9]["phone"][2] == 1.0
+    assert got[10]["id"][2] == 0.7  # "border" is no order
