@@ -96,14 +96,14 @@ def t4(spark, d):
     return j.select("doc", F.round(blend, 5).alias("score")).orderBy(F.desc("score"), "doc").limit(10)
 
 
-@query("v18_abstention", f"WITH b AS (SELECT q.vec_id AS query, max(round({COS},6)) AS best FROM embeddings q JOIN embeddings a ON a.vec_id <> q.vec_id AND a.label = q.label WHERE q.vec_id % 100 = 0 GROUP BY 1) SELECT query, round(1 - best,5) AS distance, 1 - best > 0.6 AS abstain FROM b")
+@query("v18_abstention", f"WITH b AS (SELECT q.vec_id AS query, max(round({COS},6)) AS best FROM embeddings q JOIN embeddings a ON a.vec_id <> q.vec_id AND a.label = q.label WHERE q.vec_id % 100 = 0 GROUP BY 1) SELECT query, round(1 - best,6) AS distance, 1 - best > 0.6 AS abstain FROM b")
 def v18(spark, d):
     """An answer is refused where its best evidence is too far away; every 100th vector asks."""
     e = load(spark, d, "embeddings")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), "label", F.col("embedding").alias("q"))
     j = e.join(q, "label").where("vec_id <> query").select("query", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("c"))
     b = j.groupBy("query").agg(F.max("c").alias("best"))
-    return b.select("query", F.round(1 - F.col("best"), 5).alias("distance"), (1 - F.col("best") > 0.6).alias("abstain"))
+    return b.select("query", F.round(1 - F.col("best"), 6).alias("distance"), (1 - F.col("best") > 0.6).alias("abstain"))
 
 
 SYNONYMS = {"license": "permission", "token": "key", "keit": "quality"}

@@ -7,6 +7,10 @@ shuffle on the key with map-side combining, and replaying any prefix gives the s
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -270,7 +274,25 @@ def w2(spark, d):
   r AS (SELECT user_id, n, CAST(round(0.2*s,4) AS DOUBLE) AS u FROM o WHERE n=1 UNION ALL SELECT o.user_id, o.n, round(0.8*r.u + 0.2*o.s,4) FROM r JOIN o ON o.user_id=r.user_id AND o.n=r.n+1)
   SELECT user_id, round(arg_max(u, n),3) AS utility FROM r GROUP BY user_id""")
 def a23(spark, d):
-    """Utility as a rounded running average of outcomes, folded in order."""
+    """Utility as a rounded running average of outcomes, folded in order: sorted rows stream through a task, nothing is gathered."""
     s = F.when(F.col("event_type") == "purchase", 1.0).otherwise(-0.05)
-    g = load(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", s.alias("s")))).alias("o"))
-    return g.select("user_id", F.round(F.aggregate("o", F.lit(0.0), lambda u, x: F.round(0.8 * u + 0.2 * x["s"], 4)), 3).alias("utility"))
+    rows = load(spark, d, "events").select("user_id", "event_id", s.alias("s")).repartition("user_id").sortWithinPartitions("user_id", "event_id")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who, u = None, 0.0
+        for b in batches:
+            done = []
+            for user, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                if user != who:
+                    if who is not None:
+                        done.append((who, u))
+                    who, u = user, 0.0
+                u = math.floor((0.8 * u + 0.2 * x) * 1e4 + 0.5) / 1e4 if 0.8 * u + 0.2 * x >= 0 else -math.floor(-(0.8 * u + 0.2 * x) * 1e4 + 0.5) / 1e4
+            yield _pairs(done)
+        yield _pairs([(who, u)] if who is not None else [])
+
+    return rows.mapInArrow(fold, "user_id long, u double").select("user_id", F.round("u", 3).alias("utility"))
+
+
+def _pairs(rows: list[tuple[int, float]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64())], names=["user_id", "u"])
