@@ -41,7 +41,7 @@ def read_mirror(spark: SparkSession, folder: str, schema: str = EVENT_SCHEMA) ->
 
 READS = frozenset(  # plan nodes of the parser that only read (fixed values)
     "Project Filter Aggregate Sort GlobalLimit LocalLimit Distinct Join Union Intersect Except SubqueryAlias UnresolvedRelation "
-    "UnresolvedInlineTable UnresolvedHaving UnresolvedSubqueryColumnAliases UnresolvedWith With OneRowRelation Window Offset LateralJoin CTERelationRef UnresolvedOrderBy".split()
+    "LocalRelation UnresolvedInlineTable UnresolvedHaving UnresolvedSubqueryColumnAliases UnresolvedWith With OneRowRelation Window Offset LateralJoin CTERelationRef UnresolvedOrderBy".split()
 )
 REFUSED = frozenset("reflect java_method try_reflect input_file_name assert_true raise_error".split())  # functions that reach beyond the rows
 
@@ -77,7 +77,7 @@ def read_only_sql(spark: SparkSession, sql: str, limit: int = 50, tables: frozen
         kind = e.getClass().getSimpleName()
         if kind == "UnresolvedFunction" and not REFUSED.isdisjoint(x.lower() for x in each(e.nameParts())):
             raise ValueError("this function is not allowed")
-        if hasattr(e, "plan") and "Subquery" in kind or kind in ("Exists", "ListQuery"):
+        if kind in ("ScalarSubquery", "LateralSubquery", "Exists", "ListQuery"):
             walk(e.plan())
         for child in each(e.children()):
             inspect(child)

@@ -84,7 +84,7 @@ def test_cascade_and_roots(spark):
 
 def test_guarded_sql(spark):
     assert mirror.read_only_sql(spark, "SELECT 1 AS x").first().x == 1
-    assert mirror.read_only_sql(spark, "WITH t AS (SELECT 'Drop' AS x UNION ALL SELECT 'b') SELECT x FROM t WHERE x IN (SELECT 'Drop')").first().x == "Drop"
+    assert mirror.read_only_sql(spark, "WITH t AS (SELECT 'Drop' AS x UNION ALL SELECT 'b') SELECT x FROM t WHERE x IN (SELECT x FROM t WHERE x = 'Drop')").first().x == "Drop"
     path = "SELECT * FROM parquet.`/etc/x`"
     deep = "SELECT 1 WHERE EXISTS (SELECT reflect('java.lang.System', 'exit'))"
     for bad in ("DROP TABLE x", "INSERT INTO x VALUES (1)", "CREATE TABLE y AS SELECT 1", path, f"SELECT 1 WHERE 1 IN ({path})", "SELECT reflect('java.lang.System', 'getenv')", deep):
