@@ -46,9 +46,10 @@ class Index:
 
     def of(self, terms: list[str]) -> DataFrame:
         """Postings of a bounded list of terms: partitions by bucket, row groups by term."""
-        spark = self.postings.sparkSession
-        rows = spark.createDataFrame([(t,) for t in terms], "t string").select(F.pmod(F.xxhash64("t"), F.lit(self.buckets)).cast("int").alias("b")).distinct().collect()
-        return self.postings.where(F.col("bucket").isin([r.b for r in rows]) & F.col("term").isin(terms))
+        hit = F.lit(False)
+        for t in terms:  # constants, so the optimiser prunes partitions by them
+            hit = hit | (F.col("bucket") == F.pmod(F.xxhash64(F.lit(t)), F.lit(self.buckets)).cast("int"))
+        return self.postings.where(hit & F.col("term").isin(terms))
 
     def bm25(self, terms: list[str]) -> DataFrame:
         """``doc, score`` of documents that have any of the terms."""
