@@ -16,7 +16,9 @@ which bucket they belong to:
 3. For seeds that more than one document has, each group sends the distinct surroundings (all
    strings that own the seed lie within) with their smallest doc_id.  A bucket takes the strings of its
    surroundings a run of seeds at a time, compares them byte by byte with the first of their kind, and
-   answers with those that start in a document with a smaller id.
+   answers with those that start in a document with a smaller id.  A seed that has over ``crowd``
+   different surroundings in some group (a line of dashes between other texts) is told to all groups as
+   crowded: its strings go out one by one, each once for a group, to buckets of their own hashes.
 4. Each group marks the bytes and measures what is left.
 
 Because a group sends each hash and each surrounding once, a passage that a third of all documents
@@ -50,6 +52,7 @@ PARTITION_BYTES = 32 << 20  # text that a task reads
 SORTED_AT_ONCE = 1 << 19  # strings
 ENTRIES_AT_ONCE = 1 << 15  # surroundings, and as many more as share the last seed
 CHUNK = 1 << 19
+CROWD = 64  # different surroundings of a seed in a group, beyond which its strings are dealt one by one
 SIDE = "g long, kind int, x long, idx long, data binary"
 
 
@@ -133,13 +136,45 @@ class Group:
             many = (doc[last] != doc[new])[kind]
         out = np.empty(len(h), bool)
         out[order] = many
-        told = self.side[self.side["kind"] == 1]
-        if len(told):
-            keys = np.sort(np.concatenate([from_six(d) | np.uint64(b) << np.uint64(48) for b, d in zip(told["x"].tolist(), told["data"].tolist())]))
-            own = self.h & np.uint64(0xFFFFFFFFFFFF) | bucket_of(self.h, buckets).astype("u8") << np.uint64(48)
-            i = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-            out |= keys[i] == own
-        return out
+        return out | self.told(1, buckets)
+
+    def told(self, kind: int, buckets: int) -> np.ndarray:
+        """Which seeds are among those that the buckets told: 1 of several groups, 3 crowded."""
+        told = self.side[self.side["kind"] == kind]
+        if not len(told):
+            return np.zeros(len(self.h), bool)
+        keys = np.sort(np.concatenate([from_six(d) | np.uint64(b) << np.uint64(48) for b, d in zip(told["x"].tolist(), told["data"].tolist())]))
+        own = self.h & np.uint64(0xFFFFFFFFFFFF) | bucket_of(self.h, buckets).astype("u8") << np.uint64(48)
+        return keys[np.minimum(np.searchsorted(keys, own), len(keys) - 1)] == own
+
+    def around(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The surroundings of some seeds, where their strings begin and end, and a hash of both."""
+        around = np.zeros((len(pick), AROUND), "u1")
+        o = (self.at[pick] - self.lo[pick]) * 64 + self.at[pick] - self.hi[pick]
+        if not len(pick):
+            return around, o, np.empty(0, "u8")
+        sizes = np.array([len(t) for t in self.texts], "i8")
+        starts = np.cumsum(sizes) - sizes
+        data = np.frombuffer(b"".join(self.texts), "u1")
+        for a in range(0, len(pick), 1 << 16):
+            s = pick[a : a + (1 << 16)]
+            col = (self.at[s] - (W - 1))[:, None] + np.arange(AROUND)
+            ok = (col >= self.lo[s][:, None]) & (col < (self.hi[s] + LENGTH)[:, None])
+            around[a : a + len(s)][ok] = data[(starts[self.doc[s]][:, None] + col)[ok]]
+        base = np.arange(len(pick)) * AROUND
+        key = span_hashes(around.ravel(), base, base + AROUND)
+        return around, o, mix(key ^ mix(o.astype("u8") + np.uint64(1)))
+
+    def crowded(self, most: int) -> np.ndarray:
+        """Seeds with more than ``most`` different surroundings in this group."""
+        h, n = np.unique(self.h, return_counts=True)
+        pick = np.flatnonzero(np.isin(self.h, h[n > most]))
+        key, h = self.around(pick)[2], self.h[pick]
+        order = np.lexsort((key, h))
+        new = np.ones(len(pick), bool)
+        new[1:] = (h[order][1:] != h[order][:-1]) | (key[order][1:] != key[order][:-1])
+        h, n = np.unique(h[order][new], return_counts=True)
+        return h[n > most]
 
     def surroundings(self, buckets: int):
         """Classes of equal surroundings of shared seeds.
@@ -147,20 +182,7 @@ class Group:
         Per shared seed: its number, its class; per class: its first seed, which has the smallest doc_id.
         """
         pick = np.flatnonzero(self.shared(buckets))
-        around = np.zeros((len(pick), AROUND), "u1")
-        sizes = np.array([len(t) for t in self.texts], "i8")
-        starts = np.cumsum(sizes) - sizes
-        if len(pick):
-            data = np.frombuffer(b"".join(self.texts), "u1")
-            for a in range(0, len(pick), 1 << 16):
-                s = pick[a : a + (1 << 16)]
-                col = (self.at[s] - (W - 1))[:, None] + np.arange(AROUND)
-                ok = (col >= self.lo[s][:, None]) & (col < (self.hi[s] + LENGTH)[:, None])
-                around[a : a + len(s)][ok] = data[(starts[self.doc[s]][:, None] + col)[ok]]
-        base = np.arange(len(pick)) * AROUND
-        key = span_hashes(around.ravel(), base, base + AROUND) if len(pick) else np.empty(0, "u8")
-        o = (self.at[pick] - self.lo[pick]) * 64 + self.at[pick] - self.hi[pick]
-        key = mix(key ^ mix(o.astype("u8") + np.uint64(1)))
+        around, o, key = self.around(pick)
         ids = self.ids[self.doc[pick]] if len(pick) else np.empty(0, "i8")
         order = np.lexsort((np.arange(len(pick)), ids, key))
         new = np.concatenate([[True], key[order][1:] != key[order][:-1]]) if len(pick) else np.empty(0, bool)
@@ -173,34 +195,68 @@ class Group:
         first, cls = np.unique(leader, return_inverse=True)
         return pick, cls, first, around, ids
 
+    def ends(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the first and the last string of some seeds begin in their surroundings."""
+        return W - 1 - (self.at[s] - self.lo[s]), W - 1 - (self.at[s] - self.hi[s])
 
-def pass_one(buckets: int):
+    def strings(self, classes: np.ndarray, seeds: np.ndarray, around: np.ndarray, ids: np.ndarray):
+        """The strings of some classes of surroundings: class, place in it, document, hash, and the equal string with the smallest document.
+
+        ``seeds``, ``around`` and ``ids`` are those of the classes' first members.
+        """
+        lo, hi = self.ends(seeds)
+        n = hi - lo + 1
+        row = np.repeat(np.arange(len(seeds)), n)
+        off = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + lo[row]
+        data = np.ascontiguousarray(around).ravel()
+        key = np.empty(len(row), "u8")
+        for a, z, row_a, row_z in _slices(n):
+            start = (row[row_a:row_z] - a) * AROUND + off[row_a:row_z]
+            key[row_a:row_z] = span_hashes(data[a * AROUND : z * AROUND], start, start + LENGTH)
+        doc, leader = ids[row], np.arange(len(row))
+        if len(row):
+            order = np.lexsort((doc, key))
+            new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+            lead = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+            view, start = np.lib.stride_tricks.sliding_window_view(data, LENGTH), row * AROUND + off
+            for a in range(0, len(order), 1 << 15):
+                x, y = order[a : a + (1 << 15)], lead[a : a + (1 << 15)]
+                leader[x] = np.where((view[start[x]] == view[start[y]]).all(1), y, x)  # unequal strings with one hash stand for themselves
+        return classes[row], off, doc, key, leader
+
+
+def pass_one(buckets: int, crowd: int):
     def run(key, docs: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
-        h = np.unique(Group(docs, side).h)
-        b = bucket_of(h, buckets)
-        cuts = np.flatnonzero(np.diff(b, prepend=-1))
-        parts = [(int(b[a]), int(key[0]), six(h[a:e])) for a, e in zip(cuts, np.append(cuts[1:], len(h)))]
-        return pd.DataFrame(parts, columns=["b", "g", "data"])
+        grp, parts = Group(docs, side), []
+        for crowded, h in ((False, np.unique(grp.h)), (True, grp.crowded(crowd))):
+            b = bucket_of(h, buckets)
+            cuts = np.flatnonzero(np.diff(b, prepend=-1))
+            parts += [(int(b[a]), int(key[0]), crowded, six(h[a:e])) for a, e in zip(cuts, np.append(cuts[1:], len(h)))]
+        return pd.DataFrame(parts, columns=["b", "g", "crowded", "data"])
 
     return run
 
 
 def answer_one(key, rows: pd.DataFrame) -> pd.DataFrame:
-    """Which hashes of one bucket more than one group has, by group."""
+    """Which hashes of one bucket more than one group has, and which are crowded in some group, by group."""
+    crowded = np.unique(np.concatenate([np.empty(0, "u8"), *(from_six(d) for d in rows.loc[rows["crowded"], "data"])]))
+    rows = rows[~rows["crowded"]]
     every = np.concatenate([from_six(d) for d in rows["data"]])
     ordered = np.sort(every)
     twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
     del ordered
-    if not len(twice):
-        return pd.DataFrame([], columns=["g", "kind", "x", "idx", "data"])
-    hit = twice[np.minimum(np.searchsorted(twice, every), len(twice) - 1)] == every
-    out, at = [], 0
-    for g, d in zip(rows["g"].tolist(), rows["data"]):
-        n = len(d) // 6
-        own = every[at : at + n][hit[at : at + n]]
-        at += n
-        if len(own):
-            out.append((g, 1, int(key[0]), 0, six(own)))
+    out = []
+    for kind, those in ((1, twice), (3, crowded)):
+        if not len(those):
+            continue
+        hit = those[np.minimum(np.searchsorted(those, every), len(those) - 1)] == every
+        at = 0
+        for g, d in zip(rows["g"].tolist(), rows["data"]):
+            n = len(d) // 6
+            own = every[at : at + n][hit[at : at + n]]
+            at += n
+            if len(own):
+                out.append((g, kind, int(key[0]), 0, six(own)))
     return pd.DataFrame(out, columns=["g", "kind", "x", "idx", "data"])
 
 
@@ -212,11 +268,20 @@ def pass_two(buckets: int, sort_buckets: int):
     def run(key, docs: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
         grp = Group(docs, side)
         pick, cls, first, around, ids = grp.surroundings(buckets)
-        e = np.empty(len(first), ENTRY)
-        s = pick[first]
-        e["cls"], e["doc"], e["around"] = np.arange(len(first)), ids[first], around[first]
-        e["lo"], e["hi"] = W - 1 - (grp.at[s] - grp.lo[s]), W - 1 - (grp.at[s] - grp.hi[s])
-        b = bucket_of(grp.h[s], sort_buckets)
+        crowded = grp.told(3, buckets)[pick[first]]
+        whole, apart = np.flatnonzero(~crowded), np.flatnonzero(crowded)
+        e = np.empty(len(whole), ENTRY)
+        own = first[whole]
+        e["cls"], e["doc"], e["around"] = whole, ids[own], around[own]
+        e["lo"], e["hi"] = grp.ends(pick[own])
+        b = bucket_of(grp.h[pick[own]], sort_buckets)
+        if len(apart):  # strings are numbered after the classes
+            cls, off, doc, h, leader = grp.strings(apart, pick[first[apart]], around[first[apart]], ids[first[apart]])
+            s = np.unique(leader)
+            more = np.empty(len(s), ENTRY)
+            more["cls"], more["doc"], more["around"] = len(first) + s, doc[s], around[first[cls[s]]]
+            more["lo"] = more["hi"] = off[s]
+            e, b = np.concatenate([e, more]), np.concatenate([b, bucket_of(h[s], sort_buckets)])
         order = np.argsort(b, kind="stable")
         e, b = e[order], b[order]
         cuts = np.flatnonzero(np.diff(b, prepend=-1))
@@ -307,11 +372,17 @@ def _slices(n: np.ndarray, most: int = 1 << 14):
 def pass_three(buckets: int, keep_text: bool):
     def run(key, docs: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
         grp = Group(docs, side)
-        pick, cls, first, _, ids = grp.surroundings(buckets)
-        mask = np.zeros(len(first), "u4")
+        pick, cls, first, around, ids = grp.surroundings(buckets)
+        apart = np.flatnonzero(grp.told(3, buckets)[pick[first]])
+        string, off, doc, _, leader = grp.strings(apart, pick[first[apart]], around[first[apart]], ids[first[apart]])
+        mask, said = np.zeros(len(first), "u4"), np.zeros(len(string), bool)
         for d in side.loc[side["kind"] == 2, "data"]:
             m = np.frombuffer(d, MASK)
-            mask[m["cls"]] |= m["mask"]
+            own = m["cls"] < len(first)
+            mask[m["cls"][own]] |= m["mask"][own]
+            said[m["cls"][~own] - len(first)] = True
+        said = said[leader] | (doc[leader] < doc)
+        np.bitwise_or.at(mask, string[said], np.uint32(1) << off[said].astype("u4"))
         full = np.uint32(2**W - 1)
         own = np.where(ids > ids[first][cls], full, mask[cls]) if len(pick) else mask[cls]
         size = np.array([len(t) for t in grp.texts], "i8")
@@ -351,7 +422,7 @@ def pass_three(buckets: int, keep_text: bool):
     return run
 
 
-def remove_repeats(documents: DataFrame, keep_text: bool = False) -> DataFrame:
+def remove_repeats(documents: DataFrame, keep_text: bool = False, crowd: int = CROWD) -> DataFrame:
     """One row per document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and ``kept`` (the bytes left, if asked for)."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     known = docs.where("doc_id is not null")
@@ -370,7 +441,7 @@ def remove_repeats(documents: DataFrame, keep_text: bool = False) -> DataFrame:
         return known.groupBy("g").cogroup(side.groupBy("g")).applyInPandas(f, schema)
 
     sent = "b long, g long, data binary"
-    told = lead.union(with_docs(lead, pass_one(seed_buckets), sent).repartition(seed_parts, "b").groupBy("b").applyInPandas(answer_one, SIDE))
+    told = lead.union(with_docs(lead, pass_one(seed_buckets, crowd), "b long, g long, crowded boolean, data binary").repartition(seed_parts, "b").groupBy("b").applyInPandas(answer_one, SIDE))
     told_more = told.union(with_docs(told, pass_two(seed_buckets, sort_buckets), sent).repartition(sort_parts, "b").groupBy("b").applyInPandas(answer_two, SIDE))
     out = with_docs(told_more, pass_three(seed_buckets, keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     rest = docs.where("doc_id is null").select(

@@ -27,9 +27,9 @@ def brute(docs, n=50):
     return sorted(out, key=str)
 
 
-def run(spark, docs):
+def run(spark, docs, crowd=S.CROWD):
     df = spark.createDataFrame([(d, t, "x") for d, t in docs], SCHEMA)
-    return sorted((tuple(r)[:5] for r in S.remove_repeats(df).collect()), key=str)
+    return sorted((tuple(r)[:5] for r in S.remove_repeats(df, crowd=crowd).collect()), key=str)
 
 
 def make(seed, n=60):
@@ -53,10 +53,22 @@ def test_matches_brute_force(spark):
         assert run(spark, docs) == brute(docs)
 
 
+def test_crowded_seeds(spark):
+    rnd = random.Random(7)
+    say = lambda k: " ".join("".join(rnd.choices("abcdefgh", k=5)) for _ in range(k))
+    line = " -- one line of forty-odd bytes that stands -- "
+    docs = [(i, say(9) + line + rnd.choice(["", "which is it? ", "so it was said "]) + say(9)) for i in rnd.sample(range(9000), 600)]
+    want = brute(docs)
+    assert run(spark, docs, crowd=3) == want and run(spark, docs, crowd=10**6) == want and sum(r[2] for r in want) > 0
+    for crowd in (0, 1, 2):
+        docs = make(9 + crowd)
+        assert run(spark, docs, crowd) == brute(docs)
+
+
 def test_edges(spark):
     same = "0123456789" * 5
     docs = [(3, same), (2, same), (9, same[1:]), (4, "a" * 700), (5, "a" * 300 + "b"), (6, "ab" * 200), (7, "b" + "ab" * 90), (8, None), (10, ""), (None, same), (None, None), (2, same), (11, "é" * 25), (12, "é" * 26), (12, "other " * 20), (12, "other " * 19)]
-    assert run(spark, docs) == brute(docs)
+    assert run(spark, docs) == run(spark, docs, crowd=0) == brute(docs)
     assert run(spark, []) == []
 
 
