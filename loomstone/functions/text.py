@@ -228,3 +228,18 @@ def f33(spark, d):
     s = load(spark, d, "part").select("p_size").distinct()
     text = F.concat(F.col("p_size").cast("string"), F.element_at(F.array(F.lit("s"), F.lit("m"), F.lit("h")), (F.col("p_size") % 3 + 1).cast("int")))
     return s.select("p_size", duration_seconds(text).alias("seconds"))
+
+
+@query("f24_content_hash", "SELECT doc_id, sha256(text) AS h FROM documents WHERE text IS NOT NULL")
+def f24(spark, d):
+    """the hash of a content, of its UTF-8 bytes."""
+    return load(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("h"))
+
+
+@query("v20_fold_ids", """WITH b AS (SELECT conv_id, turn // 8 AS span, string_agg(sha256(text), '' ORDER BY turn) AS hs FROM conversations GROUP BY ALL)
+  SELECT conv_id, span, 'fold_' || substr(sha256(hs), 1, 12) AS fold FROM b""")
+def v20(spark, d):
+    """The id of a folded span of eight turns, from the hashes of its turns: equal spans have equal ids."""
+    c = load(spark, d, "conversations").select("conv_id", F.expr("turn div 8").alias("span"), "turn", F.sha2("text", 256).alias("h"))
+    g = c.groupBy("conv_id", "span").agg(F.array_sort(F.collect_list(F.struct("turn", "h"))).alias("hs"))  # eight hashes at most
+    return g.select("conv_id", "span", F.concat(F.lit("fold_"), F.substring(F.sha2(F.array_join(F.col("hs.h"), ""), 256), 1, 12)).alias("fold"))

@@ -206,3 +206,11 @@ def u8(spark, d):
 def s22(spark, d):
     """Partial updates, last writer wins."""
     return load(spark, d, "labels").groupBy("doc_id").agg(F.max_by("quality", F.struct("toxic", "quality")).alias("quality"))
+
+
+@query("l26_derived_facts", """SELECT entity, predicate, value, max(confidence)::DOUBLE AS confidence FROM (SELECT user_id AS entity, 'is_spender' AS predicate, 'yes' AS value, 0.75 AS confidence FROM events WHERE event_type='purchase' AND value > 50
+  UNION ALL SELECT user_id, 'has_trouble', 'yes', 0.6 FROM events WHERE event_type='error' AND value > 80) GROUP BY ALL""")
+def l26(spark, d):
+    """Every registered rule over all facts; a fact that several premises give comes once."""
+    facts = load(spark, d, "events").select(F.col("user_id").alias("entity"), F.col("event_type").alias("predicate"), "value")
+    return derive(facts).select("entity", "predicate", "value", "confidence")

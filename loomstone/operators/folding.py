@@ -361,3 +361,47 @@ def l12(spark, d):
     log = klog(spark, d)
     gone = log.where("type = 'retracted'").select("entity", "value")
     return rebuild(log).where("status = 'active'").join(gone, ["entity", "value"], "left_anti").select("entity", "predicate", "value")
+
+
+@query("j18_merge_family", f"""WITH RECURSIVE {MERGES}, w AS (SELECT node, nxt AS root FROM l UNION ALL SELECT w.node, l.nxt FROM w JOIN l ON l.node=w.root), e AS (SELECT node, min(root) AS root FROM w GROUP BY node)
+  SELECT root, count(*) AS members, min(node) AS first_member, max(node) AS last_member FROM e GROUP BY root""")
+def j18(spark, d):
+    """The family of a survivor: all entities that merges lead to it, at any depth."""
+    return roots(merges(klog(spark, d))).groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("first_member"), F.max("node").alias("last_member"))
+
+
+def bucket_of(score: Column) -> Column:
+    """A4: the tenth a score falls in, as text; scores are held between 0 and 0.999."""
+    return F.format_string("%.1f", F.floor(F.least(F.lit(0.999), F.greatest(F.lit(0.0), score)) * 10) / 10)
+
+
+@query("a4_buckets", "SELECT event_id, printf('%.1f', floor(least(0.999, greatest(0.0, value/50.0 - 0.2))*10)/10) AS bucket FROM events WHERE value IS NOT NULL")
+def a4(spark, d):
+    """A4: the bucket of every score, also of those below 0 and above 1."""
+    return load(spark, d, "events").where("value IS NOT NULL").select("event_id", bucket_of(F.col("value") / 50.0 - 0.2).alias("bucket"))
+
+
+@query("f27_row_ids", f"""WITH {KLOG}, {_state_sql()} SELECT entity, predicate, 'fact_' || substr(sha256(entity || '|' || predicate || '|' || substr(sha256('verification=' || coalesce(verification::VARCHAR, '')), 1, 16)), 1, 24) AS id FROM state""")
+def f27(spark, d):
+    """a projected row's id: a prefix and the hash of its natural key, in which qualifiers stand as 16 places of their own hash."""
+    s = rebuild(klog(spark, d))
+    qualifiers = F.substring(F.sha2(F.concat(F.lit("verification="), F.coalesce(F.col("verification").cast("string"), F.lit(""))), 256), 1, 16)
+    key = F.concat_ws("|", F.col("entity").cast("string"), F.col("predicate").cast("string"), qualifiers)
+    return s.select("entity", "predicate", F.concat(F.lit("fact_"), F.substring(F.sha2(key, 256), 1, 24)).alias("id"))
+
+
+@query("t24_directives", f"""WITH {KLOG}, {_state_sql()}, l AS (SELECT entity AS owner, value % 7 AS principal, arg_max(type, (ts, seq)) AS last FROM klog WHERE type IN ('grant','revoke') GROUP BY ALL)
+  SELECT s.entity, s.value FROM state s WHERE s.predicate = 4 AND s.status = 'active' AND (s.entity % 7 = 1 OR EXISTS (SELECT 1 FROM l WHERE l.owner = s.entity AND l.principal = 1 AND l.last = 'grant')) ORDER BY s.entity LIMIT 50""")
+def t24(spark, d):
+    """The first 50 standing notes (predicate 4) that are active and that principal 1 owns or was granted."""
+    log = klog(spark, d)
+    lists = log.where("type IN ('grant', 'revoke') AND value % 7 = 1").groupBy("entity").agg((last_of("grant revoke", "type") == "grant").alias("granted"))
+    notes = rebuild(log.where("predicate = 4")).where("status = 'active'").join(lists, "entity", "left")
+    return notes.where((F.col("entity") % 7 == 1) | F.coalesce("granted", F.lit(False))).select("entity", "value").orderBy("entity").limit(50)
+
+
+@query("w1_rank_order", "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY round(value) DESC NULLS LAST, event_id) AS rank FROM events QUALIFY rank <= 20")
+def w1(spark, d):
+    """The one rule for ties in ranked lists: score descending, then id; the 20 best of each user."""
+    w = Window.partitionBy("user_id").orderBy(F.desc_nulls_last(F.round("value")), "event_id")
+    return load(spark, d, "events").select("user_id", "event_id", F.row_number().over(w).alias("rank")).where("rank <= 20")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import load, query
-from .search import WORD, index_of
+from .search import WORD, index_of, unit_vectors
 
 RRF_K = 60
 
@@ -383,3 +383,11 @@ def u7(spark, d):
     p = c.withColumn("b", F.lag("w").over(Window.partitionBy("conv_id").orderBy("turn"))).where("b IS NOT NULL")
     j = F.size(F.array_intersect("w", "b")) / F.greatest(F.lit(1), F.size(F.array_union("w", "b")))
     return p.select("conv_id", "turn", F.round(j, 6).alias("jaccard"))
+
+
+@query("v13_stored_scores", f"SELECT a.vec_id, round({COS}, 5) AS score FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id=13) q")
+def v13(spark, d):
+    """Scores of all observed vectors from the stored copy of unit length, kept while the table stays the same."""
+    v = unit_vectors(spark, f"{d}/embeddings.parquet")
+    asked = F.array(*(F.lit(x) for x in v.where("vec_id = 13").first()["unit"]))
+    return v.select("vec_id", F.round(F.aggregate(F.zip_with("unit", asked, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x), 5).alias("score"))

@@ -66,9 +66,30 @@ def _partitions(spark: SparkSession) -> int:
 
 def index_of(spark: SparkSession, path: str, doc_id: str = "doc_id", text: str = "text") -> Index:
     """The index of a table's text column, built when it is first asked for and again when its files changed."""
-    files = spark.read.format("binaryFile").load(path).select("path", "modificationTime", "length")
-    state = files.agg(F.count(F.lit(1)), F.sum(F.xxhash64("path", "modificationTime", "length").cast("decimal(38,0)"))).first()
-    key = (spark.sparkContext.applicationId, path, doc_id, text, *state)
+    key = (*generation(spark, path), doc_id, text)
     if key not in _built:
         _built[key] = Index.build(spark.read.parquet(path), doc_id, text)
     return _built[key]
+
+
+def generation(spark: SparkSession, path: str) -> tuple:
+    """The session, the path and the state of its files: their number and a sum of hashes of names, times and lengths."""
+    files = spark.read.format("binaryFile").load(path).select("path", "modificationTime", "length")
+    state = files.agg(F.count(F.lit(1)), F.sum(F.xxhash64("path", "modificationTime", "length").cast("decimal(38,0)"))).first()
+    return (spark.sparkContext.applicationId, path, *state)
+
+
+_vectors: dict[tuple, DataFrame] = {}
+
+
+def unit_vectors(spark: SparkSession, path: str, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """``vec_id, unit``: vectors of unit length, written once and used again until the table's files change."""
+    key = (*generation(spark, path), vec_id, embedding)
+    if key not in _vectors:
+        folder = work_folder(spark, "vectors")
+        v = F.transform(embedding, lambda x: x.cast("double"))
+        length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+        rows = spark.read.parquet(path).select(F.col(vec_id).alias("vec_id"), F.transform(v, lambda x: F.when(length > 0, x / length).otherwise(0.0)).alias("unit"))
+        rows.write.parquet(folder)
+        _vectors[key] = spark.read.parquet(folder)
+    return _vectors[key]
