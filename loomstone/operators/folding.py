@@ -404,4 +404,4 @@ def t24(spark, d):
 def w1(spark, d):
     """The one rule for ties in ranked lists: score descending, then id; the 20 best of each user."""
     w = Window.partitionBy("user_id").orderBy(F.desc_nulls_last(F.round("value")), "event_id")
-    return load(spark, d, "events").select("user_id", "event_id", F.row_number().over(w).alias("rank")).where("rank <= 20")
+    return load(spark, d, "events").select("user_id", "event_id", F.row_number().over(w).cast("long").alias("rank")).where("rank <= 20")
