@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .conversations import op11_conversation_repair
 from .decontaminate import op7_decontaminate
 from .html_text import op6_html_text
 from .near_duplicates import op2_near_duplicates
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_substrings": op9_substrings,
     "op10_warc": op10_warc,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 ORACLE: dict[str, str] = {}
