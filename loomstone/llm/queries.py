@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .balanced_packing import op13_balanced_packing
 from .conversations import op11_conversation_repair
 from .decontaminate import op7_decontaminate
 from .html_text import op6_html_text
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_substrings": op9_substrings,
     "op10_warc": op10_warc,
     "op11_conversation_repair": op11_conversation_repair,
+    "op13_balanced_packing": op13_balanced_packing,
 }
 ORACLE: dict[str, str] = {}
