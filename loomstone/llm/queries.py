@@ -5,6 +5,8 @@ from __future__ import annotations
 from .balanced_packing import op13_balanced_packing
 from .conversations import op11_conversation_repair
 from .decontaminate import op7_decontaminate
+from .hard_negatives import ORACLE as ORACLE_12
+from .hard_negatives import op12_hard_negatives
 from .html_text import op6_html_text
 from .near_duplicates import op2_near_duplicates
 from .packing import op5_packing
@@ -27,6 +29,7 @@ QUERIES = {
     "op9_substrings": op9_substrings,
     "op10_warc": op10_warc,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_balanced_packing": op13_balanced_packing,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op12_hard_negatives": ORACLE_12}
