@@ -18,7 +18,7 @@ from .operators.answering import RULES, best_sentence
 from .operators.curation import roots
 from .operators.eventlog import append, latest
 from .operators.retrieval import top
-from .operators.search import Index
+from .operators.segments import SegmentedIndex
 from .sources.mirror import work_folder
 
 SCHEMA = (
@@ -33,7 +33,8 @@ class Engine:
     def __init__(self, log: DataFrame, principal: str = "_user", paths: tuple[str, ...] = ()):
         self.log, self.principal, self.paths = log, principal, paths
         self.disabled: frozenset[str] = frozenset()
-        self._index: Index | None = None
+        self._index: SegmentedIndex | None = None  # of this log or a shorter one
+        self._indexed = False
 
     @classmethod
     def empty(cls, spark: SparkSession, principal: str = "_user") -> Engine:
@@ -60,6 +61,7 @@ class Engine:
         paths = (*paths, new)
         out = Engine(self.spark.read.schema(self.log.schema).parquet(*paths), self.principal, paths)
         out.disabled = self.disabled
+        out._index = self._index
         return out
 
     def _event(self, type_: str, at: str, **fields: str) -> Engine:
@@ -169,9 +171,15 @@ class Engine:
 
     def search(self, words: list[str], limit: int = 10) -> DataFrame:
         """Observations by BM25 of a bounded list of words."""
-        if self._index is None:
-            self._index = Index.build(self.observed(), "event_id", "text")
-        return top(self._index.bm25(words), limit)
+        if not self._indexed:  # what came and what went since the shorter log's index; texts of an id don't change
+            index = self._index.fork() if self._index else SegmentedIndex.create(self.spark)
+            rows = self.observed().select("event_id", "text")
+            if index.manifest.segments:
+                index.delete(index.documents().select(F.col("doc").alias("event_id")).join(rows, "event_id", "left_anti"), "event_id")
+                rows = rows.join(index.documents().select(F.col("doc").alias("event_id")), "event_id", "left_anti")
+            index.append(rows, "event_id", "text")
+            self._index, self._indexed = index, True
+        return top(self._index.search(words, limit), limit)
 
     def answer(self, words: list[str], least_score: float = 0.0) -> DataFrame:
         """The best observation's sentence, or no row (abstain)."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,7 +62,7 @@ def hash_embed(docs: DataFrame, key: str, text: str, dims: int = 64) -> DataFram
 def best_sentence(text: Column, words: list[str]) -> Column:
     """The first sentence with one of the words, else the first line, 200 characters at most."""
     s = F.split(text, r"(?<=[.!?])\s+")
-    hit = F.filter(s, lambda x: F.lower(x).rlike("|".join(words)))
+    hit = F.filter(s, lambda x: reduce(Column.__or__, (F.contains(F.lower(x), F.lit(w)) for w in words)))
     return F.substring(F.coalesce(F.get(hit, F.lit(0)), F.substring_index(text, "\n", 1)), 1, 200)
 
 
