@@ -3,7 +3,7 @@
 Vectors of unit length are dealt to the lists of their nearest centroids (fitted to a sample of SAMPLE
 vectors; the centroids decide what is read, not what is found).  A list's rows hold the angle to the
 centroid, the vector as 8-bit codes with its step, and the length of what the codes leave out; the vectors
-themselves are stored apart and are read for a shortlist only.
+themselves are columns and files of their own, read for a shortlist only.
 
 Two facts make a search exact.  Angles are a metric, so a vector's angle to the query is at least the
 difference of their angles to a centroid: lists, and stretches of lists, whose bound is below the k-th best
@@ -41,7 +41,7 @@ SAMPLE, LISTS = 8192, 256
 PART, CHUNK = 16384, 2048
 ANGLE = 1e-6  # what rounding can add to an angle between doubles
 CLOSE = 2e-6  # similarities are compared to six places
-CODES = "vec_id long, list int, part int, theta double, step double, err double, code binary"
+CODES = "vec_id long, list int, part int, theta double, step double, err double, code binary, unit array<double>"
 BOUNDS = "query long, vec_id long, low double, high double, scored long"
 
 
@@ -109,10 +109,11 @@ class VectorIndex:
     spark: SparkSession
     folder: str
     centroids: np.ndarray  # LISTS of them at most
+    counted: tuple | None = None  # sizes and ranges of the lists, until the next append
 
     @classmethod
-    def build(cls, vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", lists: int = LISTS, folder: str | None = None) -> VectorIndex:
-        """Fit centroids to a sample of the most common width, and store the vectors.  ``lists`` is cut to one for each 16 vectors."""
+    def build(cls, vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", lists: int = LISTS, least: int = 512, folder: str | None = None) -> VectorIndex:
+        """Fit centroids to a sample of the most common width, and store the vectors.  ``lists`` is cut to one for each ``least`` vectors."""
         spark = vectors.sparkSession
         rows = vectors.select(F.col(embedding).cast("array<double>").alias("e")).where(F.col("e").isNotNull() & ~F.exists("e", lambda x: x.isNull() | F.isnan(x)))
         width = rows.groupBy(F.size("e").alias("w")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").first()
@@ -120,7 +121,7 @@ class VectorIndex:
             index = cls(spark, folder or work_folder(spark, "lists"), np.eye(1, 1))
         else:
             sample = rows.where(F.size("e") == width.w).orderBy(F.xxhash64("e")).limit(SAMPLE).collect()
-            index = cls(spark, folder or work_folder(spark, "lists"), fit_centroids(np.array([r.e for r in sample], "f8"), max(1, min(lists, width.n // 16))))
+            index = cls(spark, folder or work_folder(spark, "lists"), fit_centroids(np.array([r.e for r in sample], "f8"), max(1, min(lists, width.n // least))))
         index.append(vectors, vec_id, embedding)
         return index
 
@@ -137,6 +138,7 @@ class VectorIndex:
 
     def append(self, vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> None:
         """Store more vectors; ids must be new."""
+        self.counted = None
         self._units(vectors, vec_id, embedding).write.mode("append").parquet(f"{self.folder}/units")
         centroids = self.centroids
 
@@ -152,10 +154,11 @@ class VectorIndex:
                 err = np.linalg.norm(x - codes * step[:, None], axis=1) + 1e-9
                 ids = batch.column("vec_id")
                 part = (pd.util.hash_array(ids.to_numpy()) % 1024).astype("i4")
-                yield pa.RecordBatch.from_arrays([ids, *map(pa.array, (near.astype("i4"), part, a[np.arange(len(x)), near], step, err)), pa.array([c.tobytes() for c in codes], pa.binary())], names=[c.split()[0] for c in CODES.split(", ")])
+                yield pa.RecordBatch.from_arrays([ids, *map(pa.array, (near.astype("i4"), part, a[np.arange(len(x)), near], step, err)), pa.array([c.tobytes() for c in codes], pa.binary()), batch.column("unit")], names=[c.split()[0] for c in CODES.split(", ")])
 
         new = self._units(vectors, vec_id, embedding).mapInArrow(run, CODES)
-        new.repartition("list", F.col("part") % 16).sortWithinPartitions("list", "theta").write.mode("append").partitionBy("list").parquet(f"{self.folder}/lists")
+        files = max(1, min(16, vectors.count() // (len(centroids) * PART)))  # of a list
+        new.repartition(min(len(centroids) * files, 4 * int(self.spark.conf.get("spark.sql.shuffle.partitions"))), "list", F.col("part") % files).sortWithinPartitions("list", "theta").write.mode("append").partitionBy("list").parquet(f"{self.folder}/lists")
 
     def lists(self) -> DataFrame:
         return self.spark.read.schema(CODES).parquet(f"{self.folder}/lists")
@@ -163,6 +166,58 @@ class VectorIndex:
     def units(self) -> DataFrame:
         return self.spark.read.schema("vec_id long, unit array<double>").parquet(f"{self.folder}/units")
 
+    def ranges(self) -> tuple[dict[int, int], np.ndarray, np.ndarray]:
+        """Sizes of the lists that have vectors, and of each list the least and greatest angle to its centroid."""
+        if self.counted is None:
+            rows = self.lists().groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.min("theta").alias("near"), F.max("theta").alias("far")).collect()  # LISTS rows at most
+            near = np.full(len(self.centroids), math.inf)
+            far = near.copy()
+            for r in rows:
+                near[r.list], far[r.list] = r.near, r.far
+            self.counted = ({r.list: r.n for r in rows}, near, far)
+        return self.counted
+
+    def nearest_of(self, vector: list[float], k: int, above: float = -1.0) -> DataFrame:
+        """``vec_id, sim`` of the ``k`` nearest of one vector: two scans, of its own list and of stretches of others.
+
+        The second reads partitions and row groups of the lists and angles that can reach what the first found.
+        """
+        q = unit(np.array(vector, "f8"))
+        sizes, near, far = self.ranges()
+        none = self.spark.createDataFrame([], "vec_id long, sim double")
+        if not sizes or len(q) != self.width:
+            return none
+        a = angles(q[None], self.centroids)[0]
+        home = min(sizes, key=lambda l: (a[l], l))
+
+        def bounds(floor: float, exact: bool):
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    if not b.num_rows:
+                        continue
+                    codes = np.frombuffer(b"".join(b.column("code").to_pylist()), "i1").reshape(b.num_rows, -1)
+                    s, err = (codes.astype("f8") @ q) * b.column("step").to_numpy(), b.column("err").to_numpy()
+                    low = s - err
+                    least = max(floor, np.partition(low, len(low) - k)[len(low) - k] if len(low) > k else -2.0)
+                    fit = np.flatnonzero(s + err >= least - CLOSE)
+                    value = np.array([np.dot(x, q) for x in b.column("unit").take(pa.array(fit)).to_pylist()], "f8") if exact else low[fit]
+                    yield pa.RecordBatch.from_arrays([b.column("vec_id").take(pa.array(fit)), pa.array(value)], names=["vec_id", "sim"])
+
+            return run
+
+        columns = ["vec_id", "step", "err", "code"]
+        first = self.lists().where(F.col("list") == home).select(*columns).mapInArrow(bounds(float(above), False), "vec_id long, sim double")
+        kth = first.orderBy(F.desc("sim")).limit(k).agg(F.min("sim").alias("s"), F.count(F.lit(1)).alias("n")).first()
+        floor = max(float(above), kth.s if kth.n == k else -1.0)
+        reach = math.acos(max(-1.0, min(1.0, floor))) + ANGLE
+        some = [l for l in sizes if math.cos(min(math.pi, max(0.0, a[l] - far[l], near[l] - a[l]) - ANGLE)) >= floor - CLOSE]
+        hit = F.lit(False)
+        for l in some:  # constants, so partitions and row groups are pruned by them
+            hit = hit | ((F.col("list") == l) & F.col("theta").between(float(a[l] - reach - CLOSE), float(a[l] + reach + CLOSE)))
+        found = self.lists().where(hit).select(*columns, "unit").mapInArrow(bounds(floor, True), "vec_id long, sim double")
+        sim = F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "sim")), 6)
+        return found.select("vec_id", sim.alias("sim")).where(F.col("sim") > F.lit(float(above))).orderBy(F.desc("sim"), "vec_id").limit(k)
+
     def nearest(self, queries: DataFrame, k: int, query_id: str = "vec_id", embedding: str = "embedding", own: bool = False, above: float = -1.0) -> DataFrame:
         """``query, vec_id, sim, rank``: each query's ``k`` nearest of similarity over ``above``, by six places, ties by id."""
         return self.nearest_with_report(queries, k, query_id, embedding, own, above)[0]
@@ -170,9 +225,8 @@ class VectorIndex:
     def nearest_with_report(self, queries: DataFrame, k: int, query_id: str = "vec_id", embedding: str = "embedding", own: bool = False, above: float = -1.0) -> tuple[DataFrame, DataFrame]:
         """The same, and ``query, scored, shortlist``: how many vectors of each query were scored by codes and how many exactly."""
         centroids, spark = self.centroids, self.spark
-        sizes = self.lists().groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.min("theta").alias("near"), F.max("theta").alias("far")).collect()  # LISTS rows at most
-        parts = {r.list: max(1, -(-r.n // PART)) for r in sizes}
-        near, far = (np.array([next((x[f] for x in sizes if x.list == l), math.inf) for l in range(len(centroids))]) for f in ("near", "far"))
+        sizes, near, far = self.ranges()
+        parts = {l: max(1, -(-n // PART)) for l, n in sizes.items()}
         stored = np.isfinite(near)
         asked = self._units(queries, query_id, embedding).withColumnRenamed("vec_id", "query")
         folder = work_folder(spark, "asked")
@@ -231,7 +285,7 @@ class VectorIndex:
         of = lambda d: F.create_map(*(F.lit(x) for kv in d.items() for x in kv))[F.col("list")]
         chunks = {l: max(1, -(-n // CHUNK)) for l, n in counted.items()}
         every = lambda d: F.explode(F.sequence(F.lit(0), of(d) - 1))
-        rows = self.lists().where(F.col("list").isin(list(counted))).withColumn("p", F.col("part") % of(parts)).withColumn("c", every(chunks))
+        rows = self.lists().drop("unit").where(F.col("list").isin(list(counted))).withColumn("p", F.col("part") % of(parts)).withColumn("c", every(chunks))
         few = asked.withColumn("c", F.pmod(F.xxhash64("query"), of(chunks)).cast("int")).withColumn("p", every({l: parts.get(l, 1) for l in counted}))
 
         def run(rows: pd.DataFrame, few: pd.DataFrame) -> pd.DataFrame:
@@ -270,4 +324,5 @@ _SIM = "list_dot_product(a.embedding::DOUBLE[], q.embedding::DOUBLE[])/sqrt(list
 @query("w2_lists_topk", f"SELECT vec_id, sim FROM (SELECT a.vec_id, round({_SIM}, 6) AS sim FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id=3) q) WHERE sim > 0.1 ORDER BY sim DESC, vec_id LIMIT 25")
 def w2l(spark, d):
     """The 25 nearest above 0.1 of one vector, from stored lists."""
-    return index_of_vectors(spark, d).nearest(load(spark, d, "embeddings").where("vec_id = 3"), 25, above=0.1).select("vec_id", "sim")
+    q = load(spark, d, "embeddings").where("vec_id = 3").select("embedding").first()
+    return index_of_vectors(spark, d).nearest_of(q.embedding, 25, above=0.1)

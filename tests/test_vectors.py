@@ -44,7 +44,7 @@ def test_exact_and_pruned(spark):
     ids = np.random.default_rng(2).permutation(3000)
     share = []
     for lists in (2, 60):
-        index = V.VectorIndex.build(frame(spark, ids[:2500], x[:2500]), lists=lists)
+        index = V.VectorIndex.build(frame(spark, ids[:2500], x[:2500]), lists=lists, least=16)
         index.append(frame(spark, ids[2500:], x[2500:]))
         report = check(spark, index, ids, x, ids[::60], x[::60], 8, own=True)
         share.append(sum(r.scored for r in report) / (50 * 3000))
@@ -52,12 +52,24 @@ def test_exact_and_pruned(spark):
     assert share[1] < 0.5 * share[0] and share[1] < 0.4  # more lists, fewer vectors scored
 
 
+def test_one_vector(spark):
+    x = clustered(2000, 16, 6)
+    x[100:150] = x[100]
+    ids = np.random.default_rng(2).permutation(2000)
+    index = V.VectorIndex.build(frame(spark, ids, x), lists=50, least=16)
+    for i, k, above in ((100, 8, -1.0), (7, 30, 0.6), (3, 5000, -1.0), (9, 3, 0.99999)):
+        got = [(r.vec_id, r.sim) for r in index.nearest_of(x[i].tolist(), k, above).collect()]
+        want = best(ids, x, -1, x[i], k, False, above)
+        assert [a for a, _ in got] == [a for a, _ in want] and all(abs(a[1] - b[1]) <= 1.01e-6 for a, b in zip(got, want))
+    assert index.nearest_of([0.0] * 16, 3).count() == 3 and index.nearest_of([1.0], 3).count() == 0
+
+
 def test_parts_and_chunks(spark, monkeypatch):
     monkeypatch.setattr(V, "PART", 50)
     monkeypatch.setattr(V, "CHUNK", 7)
     x = clustered(400, 8, 3)
     ids = np.arange(400)
-    index = V.VectorIndex.build(frame(spark, ids, x), lists=4)
+    index = V.VectorIndex.build(frame(spark, ids, x), lists=4, least=16)
     check(spark, index, ids, x, ids[:40], x[:40], 5, above=0.5)
 
 
