@@ -51,7 +51,7 @@ class Ordered:
     def _sums(self, value: Column) -> DataFrame:
         """``keys, _block, _sum, _before``: each block's sum, and that of the blocks before it."""
         sums = self.rows.groupBy(*self.keys, "_block").agg(F.coalesce(F.sum(value), F.lit(0)).alias("_sum"))
-        if self.rows.sparkSession.conf.get("loomstone.scan.levels", "auto") == "auto" and sums.groupBy(*self.keys).count().where(F.col("count") > self.most).isEmpty():
+        if sums.groupBy(*self.keys).count().where(F.col("count") > self.most).isEmpty():
             over = Window.partitionBy(*self.keys).orderBy("_block")
             return sums.withColumn("_before", F.sum("_sum").over(over) - F.col("_sum"))
         up = Ordered.of(sums.withColumnRenamed("_block", "_part"), self.keys, ["_part"], self.most)
@@ -72,7 +72,8 @@ class Ordered:
         own = F.sum(F.coalesce(value, F.lit(0))).over(self._within())
         if not inclusive:
             own = own - F.coalesce(value, F.lit(0))
-        return self._joined(self._sums(value).drop("_sum")).withColumn(name, own + F.col("_before")).drop("_before")
+        handed = self._sums(value).select(*self.keys, "_block", F.col("_before").alias("_handed"))
+        return self._joined(handed).withColumn(name, own + F.col("_handed")).drop("_handed")
 
     def previous(self, columns: list[str], prefix: str = "prev_") -> DataFrame:
         """The rows with ``columns`` of the key's row before each, null for the first; ``_first`` tells which that is."""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions import language, text  # noqa: F401
-from ..operators import answering, context, curation, erasure, eventlog, federation, folding, lifecycle, retrieval, segments, truth, vectors  # noqa: F401
+from ..operators import answering, context, curation, erasure, eventlog, federation, folding, lifecycle, retrieval, scans, segments, truth, vectors  # noqa: F401
 from ..sources import mirror  # noqa: F401
 from ..streaming import projection, sweeps  # noqa: F401
 from .registry import ORACLE, QUERIES
