@@ -55,6 +55,46 @@ def test_pages_that_are_not_articles():
     assert main_text(page("<ul><li><a href='/a'>A</a></li><li><a href='/b'>B</a></li></ul>")) == ""
 
 
+ITALIAN = ("La storia della città è che venne costruita su una collina e la gente della valle saliva fino al mercato per vendere il grano. " * 3).strip()
+FINNISH = ("Kaupunki rakennettiin kukkulalle vanhan linnan viereen, ja laakson asukkaat kulkivat sinne torille myymään viljaa ja villaa. " * 3).strip()
+JAPANESE = "町は丘の上に建てられ、谷の人々は市場に来て穀物を売りました。" * 8
+
+
+def test_articles_that_were_lost():
+    """Whole pages with one article of text, in wrappers and languages that say nothing about it."""
+    for text in (LONG, ITALIAN, FINNISH, JAPANESE):
+        for before, after in (
+            ("<div class='page no-sidebar'>", "</div>"),
+            ("<div class='has-sidebar layout'>", "</div>"),
+            ("<div id='sidebar-layout'>", "</div>"),  # named like boilerplate, and nothing else is there
+            ("<div title='hidden gems of Paris'>", "</div>"),
+            ("<div data-hidden='false'>", "</div>"),
+            ("<div data-class=sidebar aria-hidden=false>", "</div>"),
+            ("<form action='/x' method=post>", "</form>"),
+            ("<div>", "</div>"),
+            ("<article>", "</article>"),
+            ("<nav><ul><li><a href='/'>Home</a><article>", "</article>"),
+            ("<header><h1>Site</h1><main>", "</main>"),
+        ):
+            got = main_text(page(f"{before}<p>{text}</p><p>{text}</p>{after}"))
+            assert got == f"{text}\n\n{text}", (before, got[:80])
+    src = page(f"<form><nav><a href='/'>Home</a></nav><article><p>{LONG}</p></article><p>Search the site</p></form>")
+    assert main_text(src) == LONG
+
+
+def test_boilerplate_stays_out():
+    src = page(f"<div class='sidebar'>{LONG}</div><form>{LONG}</form><div hidden>{LONG}</div><div><p>{LONG} End.</p></div><div style='display: none'>{LONG}</div>")
+    assert main_text(src) == f"{LONG} End."
+    assert main_text(page(f"<div hidden><p>{LONG}</p></div><div aria-hidden=true><p>{LONG}</p></div><nav>{LONG}</nav><div class=comments><p>{LONG}</p></div>")) == ""
+
+
+def test_links_over_blocks():
+    src = page(f"<div><p>{LONG}</p></div><a href='/x'><div><p>{LONG}</p><div>{LONG}</div></div></a><div><p>{LONG} End.</p></div>")
+    assert main_text(src) == f"{LONG}\n\n{LONG} End."
+    src = page(f"<ul><li><a href='/x'>Home<li><a href='/y'>Far</ul><a name='top'><div><p>{LONG}</p><p>See <a href='/z'>more</p><p>{LONG} End.</p></div>")
+    assert main_text(src).startswith(LONG) and main_text(src).endswith("End.")
+
+
 def brute(src):  # the article of the generated pages
     art = re.search(r"<article>(.*?)</article>", src, re.S)[1]
     parts = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", p)).split()) for p in re.split(r"</?(?:p|h1)>", re.sub(r"</?b>", "", art))]
