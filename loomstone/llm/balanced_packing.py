@@ -22,6 +22,7 @@ documents of their own.  An empty table gives an empty result.  Other columns of
 
 from __future__ import annotations
 
+import gc
 import heapq
 import zlib
 from collections.abc import Iterator
@@ -151,6 +152,7 @@ def tokens(documents: DataFrame, file: str, seq_len: int, end_id: int) -> DataFr
         enc = _workers.get(file) or _workers.setdefault(file, WordEncoder(file))
         end = np.array([end_id], "<u4").tobytes()
         part, nth = TaskContext.get().partitionId(), 0
+        gc.disable()  # words make many objects and no circles
         for batch in batches:
             docs, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in groups(texts, TEXT_AT_ONCE):
@@ -167,6 +169,7 @@ def tokens(documents: DataFrame, file: str, seq_len: int, end_id: int) -> DataFr
                 n, start, all_, length = np.array(numbers, "i8").T
                 columns = [pa.array(np.full(len(n), part, "i8")), pa.array(n), docs.take(pa.array(row, pa.int64())), *map(pa.array, (start, all_, length)), pa.array(raw, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["part", "nth", "doc_id", "start", "doc_tokens", "n", "ids"])
+        gc.enable()
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "part long, nth long, doc_id long, start long, doc_tokens long, n long, ids binary")
 
