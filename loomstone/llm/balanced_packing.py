@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
-from .packing import TEXT_AT_ONCE, WordEncoder, _workers, tokenizer_file
+from .packing import CACHED_CHARS, TEXT_AT_ONCE, WordEncoder, tokenizer_file
 from .tokens import groups
 
 SEQ_LEN, END_ID = 4096, 2
@@ -43,6 +43,9 @@ ROW_WINDOWS = 4
 SMALL = 128  # documents shorter than this part of a window go together, as one item of at least so many tokens
 COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
+WORDS = 1_000_000  # whose ids a worker remembers, some 200 MB
+_workers: dict[str, "Encoder"] = {}
+
 Part = tuple[int, int, int]  # row, first id of it, number of ids
 
 
@@ -144,12 +147,28 @@ def bucket_windows(lengths: list[int], before: int, capacity: int) -> list[tuple
     return [*out, (first + inner, 0, tail)] if tail else out
 
 
+class Encoder(WordEncoder):
+    """The same ids, with WORDS words remembered."""
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [self.split(t) for t in texts]
+        new = list(set().union(*split).difference(self.words))
+        if new:
+            self._learn(new)
+        out = [b"".join(map(self.words.__getitem__, w)) for w in split]
+        over = max(0, len(self.words) - WORDS)
+        for k, w in enumerate(new):
+            if len(w) > CACHED_CHARS or k >= len(new) - over:
+                del self.words[w]
+        return out
+
+
 def tokens(documents: DataFrame, file: str, seq_len: int, end_id: int) -> DataFrame:
     """``part, nth, doc_id, start, doc_tokens, n, ids`` of documents; (part, nth) numbers the rows."""
     most = ROW_WINDOWS * seq_len
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _workers.get(file) or _workers.setdefault(file, WordEncoder(file))
+        enc = _workers.get(file) or _workers.setdefault(file, Encoder(file))
         end = np.array([end_id], "<u4").tobytes()
         part, nth = TaskContext.get().partitionId(), 0
         gc.disable()  # words make many objects and no circles
