@@ -189,9 +189,9 @@ def redact(documents: DataFrame, mask: str = "[SECRET]", fdr: float = 0.01) -> D
     """``documents`` with every secret replaced by ``mask`` and ``n_chars`` counted anew.
 
     Overlapping and touching spans are masked as one.  Documents join their spans by doc_id, so repeated or null
-    ids are told apart by their text's hash.
+    ids are told apart by an md5 of id and text, which rows share by chance at no real size of a corpus.
     """
-    key = F.xxhash64("doc_id", "text")
+    key = F.md5(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit(""))))
     found = find_secrets(documents.select(key.alias("doc_id"), "text"), fdr)
     hits = found.select(F.col("doc_id").alias("key"), F.array_sort(F.concat("base", "extra")).alias("spans")).where(F.size("spans") > 0).dropDuplicates(["key"])
     hits = cut(hits)
