@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions import language, phrases, text  # noqa: F401
+from ..functions import grounding, language, phrases, text  # noqa: F401
 from ..operators import answering, context, curation, erasure, eventlog, federation, folding, lifecycle, retrieval, scans, segments, truth, vectors  # noqa: F401
 from ..sources import foreign, leases, mirror  # noqa: F401
 from ..streaming import projection, sweeps  # noqa: F401
