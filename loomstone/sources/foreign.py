@@ -95,7 +95,7 @@ def between(key: str, low: int, high: int | None) -> pads.Expression:
 def nth_key(data: pads.Dataset, key: str, low: int, high: int | None, n: int) -> tuple[int | None, int]:
     """The n-th smallest key above ``low`` (the greatest if there are fewer) and how many of n there are; holds n keys and a batch."""
     best = np.empty(0, "i8")
-    for batch in data.to_batches(columns=[key], filter=between(key, low, high)):
+    for batch in data.to_batches(columns=[key], filter=between(key, low, high), use_threads=False):
         best = np.concatenate([best, batch.column(0).to_numpy(zero_copy_only=False).astype("i8")])
         if len(best) > n:
             best = np.partition(best, n - 1)[:n]
@@ -154,7 +154,7 @@ class RowStream(DataSourceStreamReader):
         return out
 
     def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(self.path).to_batches(filter=between(self.key, partition.low, partition.high)):
+        for batch in rows_of(self.path).to_batches(filter=between(self.key, partition.low, partition.high), use_threads=False):
             if batch.num_rows:
                 yield batch.append_column("_kind", pa.array([partition.kind] * batch.num_rows))
 
