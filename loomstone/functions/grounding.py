@@ -13,10 +13,10 @@ the source's whole text and tells where it stands:
 original text, null if invented; ``cost`` is the edit distance.  Of several spans the one with the least cost
 counts, then the one that ends first, then the shortest.
 
-Folding lowers letters and makes runs of other characters one space.  Candidates come from anchors: of a value of L
-characters with at most k edits, cut in k + 1 pieces, one piece is unchanged; so every span within the limit has a
-common q-gram (q = L // (k + 1), four at most) at an offset that differs by k at most.  Only the stretches around
-anchors are aligned, which loses no span within the limit.
+Folding lowers letters and makes runs of other characters one space.  Candidates come from anchors: an edit touches
+at most q of the value's q-grams (q = L // (k + 1) for L characters and at most k edits, four at most), so a span
+within the limit holds at least L - q + 1 - kq places, and one at least, where a q-gram of the value begins.  Only
+stretches with so many of them within L + k characters are aligned, which loses no span within the limit.
 
 A null or empty value (after folding) is ``invented``; so is one whose source has no text or doesn't exist.  A
 source that is listed several times gives a row for each; a null source matches no source.
@@ -37,22 +37,21 @@ from ..plans.registry import load, query
 
 LONGEST = 4
 _NUMBER = re.compile(r"\d+")
+_RUN = re.compile(r"[^\W_]+")
 
 
 def fold(text: str) -> tuple[str, list[int]]:
     """The folded text and the place in ``text`` of each of its characters."""
-    out, at, gap = [], [], False
-    for i, c in enumerate(text):
-        if not c.isalnum():
-            gap = bool(out)
-            continue
-        if gap:
+    out: list[str] = []
+    at: list[int] = []
+    for m in _RUN.finditer(text):
+        run = m[0]
+        if out:
             out.append(" ")
-            at.append(i - 1)
-            gap = False
-        low = c.lower()
-        out.append(low if len(low) == 1 else c)
-        at.append(i)
+            at.append(m.start() - 1)
+        # letter by letter beyond ASCII: lower() of a whole word looks at neighbours and can change its length
+        out.append(run.lower() if run.isascii() else "".join(low if len(low := c.lower()) == 1 else c for c in run))
+        at.extend(range(m.start(), m.end()))
     return "".join(out), at
 
 
@@ -85,28 +84,39 @@ def start_of(value: np.ndarray, text: np.ndarray, cost: int) -> int:
     return len(text) - int(np.flatnonzero(row == cost)[0])
 
 
-def stretches(value: str, text: str, k: int) -> list[tuple[int, int]]:
-    """Parts of the text that may hold the value with at most k edits, around common q-grams, joined where they meet."""
-    q = max(1, min(LONGEST, len(value) // (k + 1)))
-    found: list[tuple[int, int]] = []
-    for v in range(len(value) - q + 1):
-        gram, s = value[v : v + q], -1
-        while (s := text.find(gram, s + 1)) >= 0:
-            found.append((max(0, s - v - k), min(len(text), s - v + len(value) + k)))
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(set(found)):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
+def grams(text: np.ndarray, q: int) -> np.ndarray:
+    """A number for the q characters from each place; equal ones have equal numbers."""
+    n = len(text) - q + 1
+    out = np.zeros(max(0, n), "u8")
+    for i in range(q if n > 0 else 0):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + text[i : n + i]
     return out
 
 
-def align(value: str, text: str, k: int) -> tuple[int, int, int] | None:
+def stretches(value: np.ndarray, text: np.ndarray, k: int) -> list[tuple[int, int]]:
+    """Parts of the text that may hold the value with at most k edits, joined where they meet."""
+    size, q = len(value), max(1, min(LONGEST, len(value) // (k + 1)))
+    least = max(1, size - q + 1 - k * q)
+    own = np.unique(grams(value, q))
+    of_text = grams(text, q)
+    hits = np.flatnonzero(own[np.minimum(np.searchsorted(own, of_text), len(own) - 1)] == of_text)
+    if len(hits) < least:
+        return []
+    first, last = hits[: len(hits) - least + 1], hits[least - 1 :]
+    near = last + q - first <= size + k
+    low, high = np.maximum(0, last[near] + q - size - k), np.minimum(len(text), first[near] + size + k)
+    if not len(low):
+        return []
+    new = np.flatnonzero(low[1:] > high[:-1]) + 1  # both ascend, so a part begins where it doesn't meet the one before
+    return list(zip(low[np.r_[0, new]].tolist(), high[np.r_[new - 1, len(high) - 1]].tolist()))
+
+
+def align(value: str, text: str | np.ndarray, k: int) -> tuple[int, int, int] | None:
     """``cost, start, end`` of the best span of at most k edits."""
     best, v = None, codes(value)
-    for a, b in stretches(value, text, k):
-        t = codes(text[a:b])
+    whole = codes(text) if isinstance(text, str) else text
+    for a, b in stretches(v, whole, k):
+        t = whole[a:b]
         row = ends(v, t)
         e = int(np.argmin(row))
         cost = int(row[e])
@@ -116,14 +126,22 @@ def align(value: str, text: str, k: int) -> tuple[int, int, int] | None:
     return best
 
 
-def judged(value: str | None, text: str | None, least_share: float) -> tuple[str, int | None, int | None, int | None]:
+class Source:
+    """A source's text, folded once for all its claims."""
+
+    def __init__(self, text: str):
+        self.text, self.at = fold(text)
+        self.codes = codes(self.text)
+
+
+def judged(value: str | None, source: Source, least_share: float) -> tuple[str, int | None, int | None, int | None]:
     """``kind, start, end, cost`` of one value."""
     v, _ = fold(value or "")
-    t, at = fold(text or "")
+    t, at = source.text, source.at
     if not v or not t:
         return "invented", None, None, None
     s = t.find(v)
-    found = (0, s, s + len(v)) if s >= 0 else align(v, t, int((1 - least_share) * len(v) + 1e-9))
+    found = (0, s, s + len(v)) if s >= 0 else align(v, source.codes, int((1 - least_share) * len(v) + 1e-9))
     if found is None or found[1] == found[2]:
         return "invented", None, None, None
     cost, s, e = found
@@ -144,8 +162,14 @@ def ground(claims: DataFrame, sources: DataFrame, least_share: float = 0.8) -> D
     types = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, source = None, Source("")
         for b in batches:
-            got = [judged(v, t, least_share) for v, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            got = []
+            for v, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                if (t or "") != last:  # claims on one source mostly follow one another
+                    last = t or ""
+                    source = Source(last)
+                got.append(judged(v, source, least_share))
             kind, start, end, cost = map(list, zip(*got)) if got else ([], [], [], [])
             kept = [x in ("exact", "reworded") for x in kind]
             more = [pa.array(kind, pa.string()), pa.array(kept, pa.bool_()), *(pa.array(c, pa.int64()) for c in (start, end, cost))]

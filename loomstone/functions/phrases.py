@@ -15,6 +15,7 @@ of at most ``MOST`` entries, not a table that grows with the data: ``phrases_of`
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
@@ -26,7 +27,7 @@ from ..plans.registry import load, query
 
 MOST = 1_000_000
 _GAP = re.compile(r"[^\w']+|_+")
-_built: dict[int, ahocorasick.Automaton] = {}  # in a worker, by the broadcast's number
+_built: dict[str, ahocorasick.Automaton] = {}  # in a worker, the last list's automaton, by the list's name
 
 
 def folded(text: str) -> str:
@@ -77,7 +78,7 @@ def find_phrases(rows: DataFrame, text: str, phrases: Iterable[tuple[str, str]],
     if len(listed) > MOST:
         raise ValueError(f"over {MOST} phrases")
     shared = spark.sparkContext.broadcast(listed)
-    number = id(shared)
+    number = uuid.uuid4().hex
     others = [c for c in rows.columns if c != text]
     taken = {"_category", "_phrase", "_start"} & set(others)
     if taken:

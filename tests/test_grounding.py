@@ -40,6 +40,48 @@ def test_anchors_lose_no_span(share):
             assert G.align(value, text, k) == brute(value, text, k), (value, text, k)
 
 
+@pytest.mark.parametrize("share", [0.6, 0.8, 0.9])
+def test_counted_anchors_in_long_texts(share):
+    """Equal to an alignment with the whole text, without any choice of stretches."""
+    rnd = random.Random(int(1000 * share))
+    words = ["".join(rnd.choice("abcdeé") for _ in range(rnd.randint(2, 7))) for _ in range(40)]
+    seen = 0
+    for n in range(60):
+        text = " ".join(rnd.choice(words) for _ in range(300))
+        a = rnd.randrange(len(text) - 60)
+        value = list(text[a : a + rnd.randint(20, 60)])
+        for _ in range(rnd.randint(0, 12)):
+            value[rnd.randrange(len(value))] = rnd.choice(["", "z", "ab"])
+        value = "".join(value)
+        if n % 4 == 0:
+            value = " ".join(rnd.choice(words) for _ in range(6))
+        k = int((1 - share) * len(value) + 1e-9)
+        v, t = G.codes(value), G.codes(text)
+        row = G.ends(v, t)
+        e = int(row.argmin())
+        want = (int(row[e]), G.start_of(v, t[:e], int(row[e])), e) if row[e] <= k else None
+        assert G.align(value, text, k) == want
+        seen += want is not None
+    assert 5 < seen < 60
+
+
+def test_folding_letter_by_letter():
+    rnd = random.Random(3)
+    letters = "aZ9 _-.'éÉßẞΣσİı中٣²\n"
+    for _ in range(300):
+        text = "".join(rnd.choice(letters) for _ in range(rnd.randint(0, 30)))
+        out, at, gap = [], [], False
+        for i, c in enumerate(text):
+            if not c.isalnum():
+                gap = bool(out)
+                continue
+            if gap:
+                out.append(" "), at.append(i - 1)
+            gap = False
+            out.append(c.lower() if len(c.lower()) == 1 else c), at.append(i)
+        assert G.fold(text) == ("".join(out), at)
+
+
 def test_kinds(spark):
     text = "Minutes:  Dr. Ana Müller moves to Lisbon on 14 March 2031, with a budget of 25,000 euros."
     claims = [
