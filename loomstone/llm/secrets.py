@@ -2,7 +2,7 @@
 
 Base patterns propose the spans that are always kept.  The battery looks at the other long runs of
 encoding characters, and at what is left of a run beside a base span.  For each it infers an encoding
-(hex, base32, base36, letters of one case, or base64) and tests the hypothesis that the run is written
+(digits, hex, base32, base36, letters of one case, or base64) and tests the hypothesis that the run is written
 text against the alternative that it is drawn uniformly, by the tests that say something about it:
 
 * chi-squared statistic of its symbols against the encoding's alphabet.  Text concentrates on few
@@ -16,8 +16,15 @@ text against the alternative that it is drawn uniformly, by the tests that say s
 
 Their p-values are combined by Stouffer's rule, the classes with double weight.  A second hypothesis is that the run is structured, as
 counters and keyboard rows are: a correlation of neighbouring symbols of ``SERIAL`` or more.  A run is
-random only if both hypotheses are rejected, so its p-value is the larger of the two.  Discoveries are
-made by the Benjamini-Hochberg rule within strata of length, so that many short runs, which no test can
+random only if both hypotheses are rejected, so its p-value is the larger of the two.
+
+Whether a run can be a uniform draw at all is a chi-squared test of its letters and digits over their own
+alphabet: 10 digits, 16 of hex, 26 letters of one case, 32, 36, 52 letters of both, or 62 (``+/_-`` also
+separate, so they don't count).  Where it rejects uniformity at ``UNIFORM``, the run's p-value is 1: it is
+neither text nor random, as lines of few symbols or encoded text are.  Runs of digits are tested like all
+others; up to 60 digits no test tells them from dates and counters at any useful rate.
+
+Discoveries are made by the Benjamini-Hochberg rule within strata of length, so that many short runs, which no test can
 tell apart, don't loosen the threshold for long ones.  Its counts cover every candidate of the
 table: p-values are put into bins, and only bin counts (at most 12 strata x 401 bins) leave Spark.
 
@@ -46,6 +53,7 @@ LEAST = 20  # characters of a candidate
 LETTERS, DIGITS = (0.0655, 0.0055), (0.13, 0.022)
 CHANGES = 0.12  # changes of class a place, in names of files and programs
 VOWELS = 0.55  # changes between vowels and consonants a place: German compounds have the fewest
+UNIFORM = 1e-6  # level at which a run isn't a uniform draw from its alphabet
 SERIAL = 0.85  # lag-1 correlation of 20 symbols that count up
 
 BINS, STEP = 400, 0.1  # bins of -log10(p): 0 to 40
@@ -66,23 +74,44 @@ def _fewer(n: Column, seen: Column, rate: float) -> Column:
     return F.when(n > 4, (n * rate - seen - 0.5) / F.sqrt(n * rate * (1 - rate))).otherwise(F.lit(0.0))
 
 
+def _squares(m: Column) -> Column:
+    """Sum of squares of the counts of a string's symbols."""
+    kinds = F.array_distinct(F.filter(F.split(m, ""), lambda c: c != ""))
+    return F.aggregate(F.transform(kinds, lambda c: F.pow(F.length(m) - F.length(F.replace(m, c, F.lit(""))), F.lit(2.0))), F.lit(0.0), lambda a, x: a + x)
+
+
+def _uniformity(body: Column) -> Column:
+    """P-value of the chi-squared test that letters and digits are drawn uniformly from their alphabet (Wilson and Hilferty's cube root)."""
+    size = (
+        F.when(body.rlike("^[0-9]+$"), 10.0)
+        .when(body.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), 16.0)
+        .when(body.rlike("^(?:[a-z]+|[A-Z]+)$"), 26.0)
+        .when(body.rlike("^[A-Z2-7]+$"), 32.0)
+        .when(body.rlike("^(?:[a-z0-9]+|[A-Z0-9]+)$"), 36.0)
+        .when(body.rlike("^[A-Za-z]+$"), 52.0)
+        .otherwise(62.0)
+    )
+    n = F.length(body).cast("double")
+    chi = _squares(body) * size / F.when(n > 0, n) - n
+    spread = 2 / (9 * (size - 1))
+    return F.coalesce(_upper_tail((F.cbrt(F.greatest(chi, F.lit(0.0)) / (size - 1)) - (1 - spread)) / F.sqrt(spread)), F.lit(1.0))
+
+
 def _battery(m: Column) -> Column:
     """Struct of p-value, alphabet and stratum for one candidate run."""
     n = F.length(m).cast("double")
     chars = F.filter(F.split(m, ""), lambda c: c != "")
     size = (
-        F.when(m.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), 16)
+        F.when(m.rlike("^[0-9]+$"), 10)
+        .when(m.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), 16)
         .when(m.rlike("^(?:[a-z]+|[A-Z]+)$"), 26)
         .when(m.rlike("^[A-Z2-7]+=*$"), 32)
         .when(m.rlike("^(?:[a-z0-9]+|[A-Z0-9]+)$"), 36)
         .otherwise(64)
     )
-    hexed, one_case = size == 16, size == 26
-    squares = F.aggregate(
-        F.transform(F.array_distinct(chars), lambda c: F.pow(F.length(m) - F.length(F.replace(m, c, F.lit(""))), F.lit(2.0))),
-        F.lit(0.0),
-        lambda a, x: a + x,
-    )
+    digits = ~m.rlike("[A-Za-z]")
+    hexed, one_case = (size == 16) | digits, (size == 26) | digits
+    squares = _squares(m)
     # sum of squares of counts, which the chi-squared statistic is linear in: mean and variance in text
     k2, k3 = F.when(hexed, DIGITS[0]).otherwise(LETTERS[0]), F.when(hexed, DIGITS[1]).otherwise(LETTERS[1])
     pairs = n * (n - 1)
@@ -110,7 +139,8 @@ def _battery(m: Column) -> Column:
     lag = F.aggregate(F.zip_with(F.slice(dev, F.lit(1), F.size(dev) - 1), F.slice(dev, F.lit(2), F.size(dev) - 1), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
     rho = F.coalesce(F.abs(lag / F.when(var > 0, var)), F.lit(1.0))
     p_serial = _upper_tail((SERIAL - rho) * F.sqrt(n / (1 - SERIAL * SERIAL)))
-    return F.struct(F.greatest(p_text, p_serial).alias("p"), size.alias("alphabet"), F.least(F.floor(F.log2(n)).cast("int"), F.lit(STRATA)).alias("stratum"))
+    p = F.when(_uniformity(body) < UNIFORM, 1.0).otherwise(F.greatest(p_text, p_serial))
+    return F.struct(p.alias("p"), size.alias("alphabet"), F.least(F.floor(F.log2(n)).cast("int"), F.lit(STRATA)).alias("stratum"))
 
 
 def _beside(run: Column, base: Column) -> Column:
@@ -152,7 +182,7 @@ def find_secrets(documents: DataFrame, fdr: float = 0.01) -> DataFrame:
     base = F.array_sort(F.concat(named(assign, 0), named(F.col("b"), 1), named(F.col("c"), 2)))
     found = found.select("doc_id", base.alias("base"), "r")
     free = F.flatten(F.transform("r", lambda x: _beside(x, F.col("base"))))
-    tested = F.transform(F.filter(free, lambda x: x["m"].rlike("[A-Za-z]")), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), _battery(x["m"]).alias("t")))
+    tested = F.transform(F.filter(free, lambda x: x["m"].rlike("[A-Za-z0-9]")), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), _battery(x["m"]).alias("t")))
     found = cut(found.select("doc_id", "base", tested.alias("r")))
 
     counts = (

@@ -141,6 +141,38 @@ def test_p_values_by_encoding(spark):
     assert all(r.t.p > 0.01 for r in got if r.k == "plain")
 
 
+def test_uniformity_over_each_alphabet(spark):
+    """Near the p-value by the exact law (simulated); uniform draws of any length pass, text and lines of few symbols don't."""
+    rnd = random.Random(17)
+    alphabets = {
+        10: string.digits, 16: "0123456789abcdef", 26: string.ascii_lowercase, 32: string.ascii_uppercase + "234567",
+        36: string.ascii_lowercase + string.digits, 52: string.ascii_letters, 62: string.ascii_letters + string.digits,
+    }
+    drawn = [(size, "".join(rnd.choice(a) for _ in range(n))) for size, a in alphabets.items() for n in (60, 200, 1000) for _ in range(40)]
+    others = ["ab" * 40, "quarterlyreportofthecommittee" * 6, "1" * 60, "".join(rnd.choice("ABCDEFGHabcdefgh01") for _ in range(200)), "-" * 30, ""]
+    df = spark.createDataFrame([*drawn, *((0, m) for m in others)], "size int, m string")
+    got = df.select("size", "m", S._uniformity(F.regexp_replace("m", "[^A-Za-z0-9]", "")).alias("p")).collect()
+    for size in alphabets:
+        ps = [r.p for r in got if r.size == size]
+        assert min(ps) > 1e-4 and 0.25 < sum(p < 0.5 for p in ps) / len(ps) < 0.75, size
+    p = {r.m: r.p for r in got if r.size == 0}
+    assert all(p[m] < S.UNIFORM for m in others[:4]) and p[others[4]] == p[""] == 1.0
+    # against draws: the share of 4,000 uniform strings whose statistic is at least as large
+    chi = lambda m: sum(m.count(c) ** 2 for c in set(m))
+    law = sorted(chi("".join(rnd.choice(alphabets[16]) for _ in range(60))) for _ in range(4000))
+    for r in [r for r in got if r.size == 16 and len(r.m) == 60]:
+        share = sum(x >= chi(r.m) for x in law) / len(law)
+        assert abs(share - r.p) < 0.06
+
+
+def test_runs_of_digits_are_tested(spark):
+    rows_ = [(1, "2024-01-31-12-00-00-000001"), (2, "12345678901234567890"), (3, "0000-0000-0000-0000-0000"), (4, "------------------------")]
+    df = spark.createDataFrame(rows_, "doc_id long, text string")
+    got = {r.doc_id: r.t for r in df.select("doc_id", S._battery(F.col("text")).alias("t")).collect()}
+    assert got[2].alphabet == 10 and all(0.01 < got[i].p <= 1 for i in (1, 2, 3))
+    assert S.find_secrets(df).where(F.size("extra") > 0).count() == 0
+
+
 def test_what_is_left_of_a_run_beside_a_base_span(spark, tmp_path):
     rnd = random.Random(4)
     key = lambda: "".join(rnd.choice(ALPHABETS["base64"][:-2]) for _ in range(40))
