@@ -5,7 +5,8 @@
 2. Expectation-maximisation fits, for either hidden class, how often each labeller gives each vote
    (its accuracy), from the patterns of all documents, and so a posterior for each pattern.
 3. A logistic scorer over hashed words and word shapes is fitted to the posteriors of a bounded
-   sample of ``train_rows`` documents, those with the smallest hashes of their ids and texts.
+   sample of about ``train_rows`` documents, those with the smallest hashes of their ids and texts.  Equal
+   rows count once in it, and it is ordered by hash, so every run gives the same weights.
 4. Every document gets the scorer's probability.  ``kept`` is true from ``threshold`` on.
 
 Null text is empty: no words, so all labellers that need words abstain or vote bad.  Null and
@@ -191,10 +192,13 @@ def classify(documents: DataFrame, train_rows: int = TRAIN_ROWS, threshold: floa
             for a, b in groups(texts):
                 votes, features, owner = look(texts[a:b])
                 good = [posterior.get(p, 0.5) for p in pattern(votes).tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(_vectors(features, owner, b - a), pa.binary()), pa.array(good)], names=["f", "y"])
+                vectors_ = pa.array(_vectors(features, owner, b - a), pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(2).slice(a, b - a), vectors_, pa.array(good)], names=["k", "f", "y"])
 
-    sample = keyed.where(F.col("k") <= bound).mapInArrow(vectors, "f binary, y double")
-    weights, bias = fit_scorer([(r.f, r.y) for r in sample.limit(2 * train_rows).collect()])
+    # different rows have hashes of their own, so about train_rows of them or fewer are under the bound, however often rows repeat
+    sample = keyed.where(F.col("k") <= bound).dropDuplicates(["k", "doc_id", "text"]).mapInArrow(vectors, "k long, f binary, y double")
+    rows = sorted((r.k, bytes(r.f), r.y) for r in sample.collect())
+    weights, bias = fit_scorer([(f, y) for _, f, y in rows])
     shared = spark.sparkContext.broadcast(weights)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +208,7 @@ def classify(documents: DataFrame, train_rows: int = TRAIN_ROWS, threshold: floa
             post, out = [], []
             for a, b in groups(texts):
                 votes, features, owner = look(texts[a:b])
-                post += [posterior[p] for p in pattern(votes).tolist()]
+                post += [posterior.get(p, 0.5) for p in pattern(votes).tolist()]
                 both = np.concatenate([features[0], features[1].astype("i8") + size])
                 key = np.concatenate([owner, owner]) * np.int64(2 * size) + both
                 key, c = np.unique(key, return_counts=True)
