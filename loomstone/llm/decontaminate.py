@@ -30,13 +30,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, heavy_keys, spread_join, table
-from .tokens import groups, mix, words
+from .tokens import mix, parts, words
 
 #: Masks over word positions (fixed values): 1 is compared, 0 is ignored.  Chosen greedily among all masks of five
 #: compared words in six to ten: together they hit every way to change 3 of 12 words between agreeing ends.
 MASKS = ("111011", "110100011", "11001011", "110111")
 LONGEST = max(map(len, MASKS))
 FILTER_BITS = 27
+TEXT_AT_ONCE = 1 << 18
 BROADCAST_ROWS = 500_000  # up to so many keys (some 30 MB) documents to drop are found by broadcast, beyond by shuffle
 
 
@@ -83,10 +84,9 @@ def _seeds(masks: list[str], bits: np.ndarray | None, whole: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _texts(batch.column(batch.num_columns - 1))
-            for a, b in groups(texts):
-                h, text = words(texts[a:b])
-                sizes = np.bincount(text, minlength=b - a) if len(h) else np.zeros(b - a, "i8")
+            for part in parts(batch, batch.num_columns - 1, TEXT_AT_ONCE):
+                h, text = words(_texts(part.column(part.num_columns - 1)))
+                sizes = np.bincount(text, minlength=part.num_rows) if len(h) else np.zeros(part.num_rows, "i8")
                 first = np.cumsum(sizes) - sizes
                 keys, places = [np.empty(0, "u8")], [np.empty(0, "i8")]
                 for m in masks:
@@ -103,12 +103,12 @@ def _seeds(masks: list[str], bits: np.ndarray | None, whole: bool):
                 who = text[place] if len(place) else place
                 order = np.argsort(who, kind="stable")
                 key, place, who = key[order], place[order], who[order]
-                n = np.bincount(who, minlength=b - a)
-                rows = np.flatnonzero(n > 0) if bits is not None else np.arange(b - a)
+                n = np.bincount(who, minlength=part.num_rows)
+                rows = np.flatnonzero(n > 0) if bits is not None else np.arange(part.num_rows)
                 if not len(rows):
                     continue
                 ends = np.cumsum(sizes)
-                part = batch.slice(a, b - a).take(pa.array(rows))
+                part = part.take(pa.array(rows))
                 raw = h.astype("<u8").tobytes()
                 columns = [
                     *part.columns[:-1],

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, heavy_keys, spread_join, table
 from .graph import components
-from .tokens import groups, mix, words
+from .tokens import mix, parts, words
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 40, 5
@@ -83,10 +83,9 @@ def _texts(column) -> list[bytes]:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = _texts(batch.column(1))
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for a, b in groups(texts, TEXT_AT_ONCE):
-            s, owner = shingles(texts[a:b])
+        for part in parts(batch, 1, TEXT_AT_ONCE):
+            s, owner = shingles(_texts(part.column(1)))
+            ids = part.column(0).to_numpy(zero_copy_only=False)
             if not len(s):
                 continue
             start = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
@@ -97,7 +96,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sig = (sig * np.uint32(0x9E3779B1) >> np.uint32(16)).astype("<u2")
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids[a:b][owner[start]], pa.int64()),
+                    pa.array(ids[owner[start]], pa.int64()),
                     pa.array(np.diff(np.append(start, len(s))), pa.int64()),
                     pa.array(np.add.reduceat(s, start).view("i8")),
                     pa.array(np.add.reduceat(mix(s ^ np.uint64(0x5851F42D4C957F2D)), start).view("i8")),
@@ -213,12 +212,10 @@ def _prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = _texts(batch.column(1))
-        for a, b in groups(texts, TEXT_AT_ONCE):
-            s, owner = shingles(texts[a:b])
-            ends = np.searchsorted(owner, np.arange(b - a + 1))
-            own = [s[ends[k] : ends[k + 1]] for k in range(b - a)]
-            part = batch.slice(a, b - a)
+        for part in parts(batch, 1, TEXT_AT_ONCE):
+            s, owner = shingles(_texts(part.column(1)))
+            ends = np.searchsorted(owner, np.arange(part.num_rows + 1))
+            own = [s[ends[k] : ends[k + 1]] for k in range(part.num_rows)]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),

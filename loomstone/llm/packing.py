@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table
-from .tokens import groups
+from .tokens import parts
 
 CACHE_WORDS = 400_000  # words whose ids a worker remembers; others are encoded each time they come
 CACHED_CHARS = 64  # longer words are not remembered, which bounds the bytes of the cache too
@@ -117,27 +117,33 @@ class WordEncoder:
             self.words[w] = np.array(e.ids, "<u4").tobytes()
 
 
-def cut_pieces(documents: DataFrame, file: str, seq_len: int, end_id: int = 0) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32`` of every document's pieces."""
+def _pieces(file: str, seq_len: int, end_id: int):
+    """``mapInArrow`` function over (doc_id, text): a row for each piece of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _workers.get(file) or _workers.setdefault(file, WordEncoder(file))
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            row, out = [], []
-            for a, b in groups(texts, TEXT_AT_ONCE):
-                for i, ids in enumerate(enc.encode(texts[a:b]), a):
+            row, out, first = [], [], 0
+            for texts in parts(batch, 1, TEXT_AT_ONCE):
+                for i, ids in enumerate(enc.encode([t or "" for t in texts.column(1).to_pylist()]), first):
                     ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * seq_len)):
                         part = ids[at : at + 4 * seq_len]
                         row.append(i)
                         out.append((k, at // 4, len(part) // 4, zlib.crc32(part)))
+                first += texts.num_rows
             k, start, length, crc = np.array(out, "i8").reshape(-1, 4).T
             docs = batch.column(0).take(pa.array(row, pa.int64()))
             yield pa.RecordBatch.from_arrays([docs, pa.array(k.astype("i4")), *map(pa.array, (start, length, crc))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return run
+
+
+def cut_pieces(documents: DataFrame, file: str, seq_len: int, end_id: int = 0) -> DataFrame:
+    """``doc_id, piece, start, length, ids_crc32`` of every document's pieces."""
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(_pieces(file, seq_len, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class Plan:

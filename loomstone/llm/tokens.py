@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 P = np.uint64(0x9E3779B97F4A7C15)
 P_INV = np.uint64(pow(int(P), -1, 1 << 64))
@@ -51,6 +53,22 @@ def groups(texts: list, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
+def parts(batch: pa.RecordBatch, column: int, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts hold about ``most`` bytes; a longer text is a slice of its own.
+
+    A worker that turns one slice after the other into Python's strings never holds a whole batch of them, which it
+    would keep as its own memory for as long as it lives.
+    """
+    at = size = 0
+    for i, n in enumerate(pc.binary_length(batch.column(column)).fill_null(0).to_pylist()):
+        if size and size + n > most:
+            yield batch.slice(at, i - at)
+            at, size = i, 0
+        size += n + 1
+    if at < batch.num_rows:
+        yield batch.slice(at)
+
+
 def words(texts: list[bytes], blank_separated: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word, and the number of its text.
 
