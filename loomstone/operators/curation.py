@@ -63,16 +63,60 @@ def roots(links: DataFrame, most: int = 64) -> DataFrame:
     return step
 
 
-def cascade(edges: DataFrame, retracted: DataFrame) -> DataFrame:
-    """All dependents of retracted nodes (``belief`` rests on ``support``), to the fixpoint."""
-    gone = frontier = checkpointed(retracted.select("node").distinct())
-    while frontier.count():
+def chain_ends(links: DataFrame) -> DataFrame:
+    """``node, root``: where chains ``node -> to`` (one row a node) end; chains that run into a circle have no end.
+
+    Pointers double, so a chain of n takes log2 n rounds, and a round moves the open chains only.  While a chain
+    that ends is open, each round closes some node of it, so a round that closes none has circles left.
+    """
+    opened = checkpointed(links.select("node", F.col("to").alias("root"), F.lit(True).alias("open")))
+    n, closed = opened.count(), None
+    while n:
+        known = opened if closed is None else opened.union(closed)
+        nxt = known.select(F.col("node").alias("root"), F.col("root").alias("further"), F.col("open").alias("ahead"))
+        new = checkpointed(opened.join(nxt, "root", "left").select("node", F.coalesce("further", "root").alias("root"), F.coalesce("ahead", F.lit(False)).alias("open")))
+        closed = new.where("NOT open") if closed is None else closed.union(new.where("NOT open"))
+        opened, before = new.where("open"), n
+        n = opened.count()
+        if n == before:
+            break
+    return (opened.where("NOT open") if closed is None else closed).select("node", "root")
+
+
+COMPACT = 8  # rounds of a walk after which its parts are written as one
+
+
+def follow(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """``node``: all that ``edges`` (``belief`` rests on ``support``) reach from ``start``, round by round."""
+    gone, frontier, rounds = start, start, 0
+    while not frontier.isEmpty():
         new = edges.join(frontier, F.col("support") == F.col("node"), "left_semi").select(F.col("belief").alias("node")).distinct()
         frontier = checkpointed(new.join(gone, "node", "left_anti"))
-        gone = gone.union(frontier)  # of written parts: nothing is computed again
+        gone, rounds = gone.union(frontier), rounds + 1  # of written parts: nothing is computed again
+        gone = gone if rounds % COMPACT else checkpointed(gone)
     return gone
 
 
+def cascade(edges: DataFrame, retracted: DataFrame) -> DataFrame:
+    """All dependents of retracted nodes (``belief`` rests on ``support``), to the fixpoint.
+
+    Only nodes that are supports themselves are walked.  Those of one support are chains, whose ends are found by
+    pointer doubling; what is walked round by round are the nodes of several supports, over the chains' ends.
+    """
+    seeds = checkpointed(retracted.select("node").distinct())
+    e = edges.select("belief", "support")
+    inner = e.where("belief <> support").join(e.select(F.col("support").alias("belief")).distinct(), "belief", "left_semi").join(seeds.withColumnRenamed("node", "belief"), "belief", "left_anti")
+    held = checkpointed(inner.groupBy("belief").agg(F.min("support").alias("support"), F.max("support").alias("last")))
+    ends = chain_ends(held.where("support = last").select(F.col("belief").alias("node"), F.col("support").alias("to")))
+    several = held.where("support <> last").select("belief")
+    tops = seeds
+    if not several.isEmpty():
+        over = inner.join(several, "belief", "left_semi").join(ends.withColumnRenamed("node", "support"), "support", "left")
+        tops = follow(checkpointed(over.select("belief", F.coalesce("root", "support").alias("support")).where("belief <> support").distinct()), seeds)
+    gone = tops.union(ends.join(tops.withColumnRenamed("node", "root"), "root", "left_semi").select("node"))
+    return seeds.union(e.join(gone, F.col("support") == F.col("node"), "left_semi").select("belief")).distinct()
+
+
 def running_max_calibration(buckets: DataFrame) -> DataFrame:
     """``bucket, n, correct`` -> Laplace-smoothed precision, made monotone by a running maximum."""
     p = (F.col("correct") + 1) / (F.col("n") + 2)

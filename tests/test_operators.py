@@ -82,6 +82,26 @@ def test_cascade_and_roots(spark):
     assert {r.node: r.root for r in got.collect()} == want
 
 
+def test_cascade_of_long_chains_takes_few_rounds(spark, monkeypatch):
+    rounds, plain = [], curation.checkpointed
+    monkeypatch.setattr(curation, "checkpointed", lambda df: rounds.append(0) or plain(df))
+    rows = [(i + 1, i) for i in range(300)] + [(1001, 1000), (1000, 1001), (1002, 1001), (None, 5), (None, 1000), (7, None)]
+    got = [r.node for r in curation.cascade(spark.createDataFrame(rows, "belief long, support long"), spark.createDataFrame([(0,), (2000,)], "node long")).collect()]
+    assert len(got) == 303 and set(got) == {*range(301), 2000, None}
+    assert len(rounds) < 20
+
+
+def test_cascade_of_several_supports(spark):
+    rnd = random.Random(5)
+    for size in (60, 90):
+        rows = [(rnd.randrange(80), rnd.randrange(80)) for _ in range(size)] + [(100 + i, 99 + i) for i in range(20)] + [(110, 3), (100, 4), (105, 105)]
+        want = seeds = set(rnd.sample(range(80), 4))
+        while new := {b for b, s in rows if s in want} - want:
+            want = want | new
+        got = [r.node for r in curation.cascade(spark.createDataFrame(rows, "belief long, support long"), spark.createDataFrame([(x,) for x in seeds], "node long")).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
 def test_guarded_sql(spark):
     assert mirror.read_only_sql(spark, "SELECT 1 AS x").first().x == 1
     assert mirror.read_only_sql(spark, "WITH t AS (SELECT 'Drop' AS x UNION ALL SELECT 'b') SELECT x FROM t WHERE x IN (SELECT x FROM t WHERE x = 'Drop')").first().x == "Drop"
