@@ -21,11 +21,11 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import load, query
-from ..sources.mirror import work_folder
+from ..sources.mirror import drop_folder, swept, work_folder
 from .search import generation
 
 PLAIN_RULES = ("", "extraction", "confirmation")  # fixed values: rules of beliefs that were not derived
@@ -44,7 +44,7 @@ class Adjacency:
         spark = edges.sparkSession
         n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         name = f"edges_{uuid.uuid4().hex}"
-        edges.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", work_folder(spark, "edges")).format("parquet").saveAsTable(name)
+        edges.repartition(n, key).write.option("compression", "zstd").bucketBy(n, key).sortBy(key).option("path", work_folder(spark, "edges")).format("parquet").saveAsTable(name)
         return cls(spark, name, key)
 
     def edges(self) -> DataFrame:
@@ -89,12 +89,22 @@ def neighbours(adjacency: Adjacency, seeds: DataFrame, depth: int, most: int | N
 
 
 def justifications(rows: DataFrame) -> Adjacency:
-    """Adjacency by support of ``belief, support, kind, rule``: whether the belief is derived, and its real supports."""
-    e = rows.where("belief <> support").groupBy("belief", "support").agg(
-        F.bool_or(F.coalesce("kind", F.lit("")) != "assumption").alias("real"), F.bool_or(~F.coalesce("rule", F.lit("")).isin(*PLAIN_RULES)).alias("derived")
+    """Adjacency by support of ``belief, support, kind, rule``: whether the belief is derived, and its real supports.
+
+    Rows are dealt by belief once; what a belief has in all is a window over its edges there.
+    """
+    spark = rows.sparkSession
+    marked = rows.where("belief <> support").select(
+        "belief", "support", (F.coalesce("kind", F.lit("")) != "assumption").alias("real"), (~F.coalesce("rule", F.lit("")).isin(*PLAIN_RULES)).alias("derived")
     )
-    whole = e.groupBy("belief").agg(F.count_if("real").alias("reals"), F.bool_or("derived").alias("any_derived"))
-    return Adjacency.store(e.drop("derived").join(whole, "belief").withColumnRenamed("any_derived", "derived"), "support")
+    e = marked.repartition("belief").groupBy("belief", "support").agg(F.bool_or("real").alias("real"), F.bool_or("derived").alias("derived"))
+    own = Window.partitionBy("belief")
+    folder = work_folder(spark, "counted")  # written, so that the rows dealt by belief and by support aren't on disk at once
+    with swept(spark):
+        e.select("belief", "support", "real", F.count_if("real").over(own).alias("reals"), F.bool_or("derived").over(own).alias("derived")).write.option("compression", "zstd").parquet(folder)
+        out = Adjacency.store(spark.read.parquet(folder), "support")
+    drop_folder(spark, folder)
+    return out
 
 
 @dataclass
@@ -145,7 +155,8 @@ def retract(adjacency: Adjacency, retracted: DataFrame) -> Retraction:
             hits = hits.withColumn("past", F.lit(0))
         falls = F.col("derived") | (F.col("lost") + F.col("past") >= F.col("reals"))
         part = f"{journal}/part={done + 1}"
-        hits.select("belief", "reals", "derived", "lost", falls.alias("fell"), F.lit(done + 1).alias("round")).write.parquet(part)
+        with swept(spark):
+            hits.select("belief", "reals", "derived", "lost", falls.alias("fell"), F.lit(done + 1).alias("round")).write.option("compression", "zstd").parquet(part)
         done += 1
         frontier = spark.read.parquet(part).where("fell").select(F.col("belief").alias("node"))
     return Retraction(spark, seeds, journal, done)
@@ -176,19 +187,21 @@ def trade_justifications(spark: SparkSession, d: str) -> DataFrame:
     """
     join = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
     rows = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"))
-    rows = rows.join(rows.groupBy("o").agg(F.max("n").alias("last")), "o")
+    rows = rows.withColumn("last", F.max("n").over(Window.partitionBy("o")))
     o = load(spark, d, "orders")
     line = lambda n: join("l", F.col("o"), "-", n)
     own = line(F.col("n"))
-    edge = lambda df, belief, support, kind, rule: df.select(belief.alias("belief"), support.alias("support"), F.lit(kind).alias("kind"), F.lit(rule).alias("rule"))
+    a = lambda belief, support, kind, rule: F.struct(belief.alias("belief"), support.alias("support"), F.lit(kind).alias("kind"), F.lit(rule).alias("rule"))
+    edges = lambda df, *rows: df.select(F.explode(F.array(*rows)).alias("e")).where("e IS NOT NULL").select("e.*")
+    before = line(F.when(F.col("n") > 1, F.col("n") - 1).otherwise(F.col("last")))
+    customer, order = join("c", F.col("o_custkey")), join("o", F.col("o_orderkey"))
     parts = [
-        edge(rows, own, join("p", F.col("p")), "event", "extraction"),
-        edge(rows, own, join("s", F.col("s")), "event", "extraction"),
-        edge(rows.where("n > 1 OR (o % 2 = 0 AND last > 1)"), own, line(F.when(F.col("n") > 1, F.col("n") - 1).otherwise(F.col("last"))), "belief", "confirmation"),
-        edge(rows, join("o", F.col("o")), own, "belief", ""),
-        edge(o, join("o", F.col("o_orderkey")), join("c", F.col("o_custkey")), "assumption", ""),
-        edge(o.where("o_orderkey % 8 < 2"), join("c", F.col("o_custkey")), join("o", F.col("o_orderkey")), "belief", "r_customer"),
-    ]
+        edges(
+            rows, a(own, join("p", F.col("p")), "event", "extraction"), a(own, join("s", F.col("s")), "event", "extraction"),
+            F.when(F.expr("n > 1 OR (o % 2 = 0 AND last > 1)"), a(own, before, "belief", "confirmation")), a(join("o", F.col("o")), own, "belief", ""),
+        ),
+        edges(o, a(order, customer, "assumption", ""), F.when(F.expr("o_orderkey % 8 < 2"), a(customer, order, "belief", "r_customer"))),
+    ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

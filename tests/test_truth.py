@@ -1,6 +1,7 @@
 """Retraction by remaining supports against a naive recursion, and walks over stored adjacency."""
 
 import random
+import time
 
 from loomstone.operators import truth as T
 
@@ -112,3 +113,18 @@ def test_walks(spark):
             frontier = list(new)
         got = T.neighbours(adjacency, spark.createDataFrame([("n1",)], "node string"), depth, most).collect()
         assert {r.node: r.hops for r in got} == hops and len(got) == len(hops)
+
+
+def test_storing_leaves_no_shuffle_files(spark):
+    def files():
+        kept = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {n for i in range(kept.size()) if (n := kept.apply(i).getName()).startswith("shuffle_")}
+
+    before = files()
+    adjacency = T.justifications(spark.createDataFrame([(f"b{i % 50}", f"s{i}", "event", "", "x") for i in range(500)], SCHEMA))
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.2)
+    assert not left
+    assert {(r.belief, r.reals) for r in adjacency.edges().collect()} == {(f"b{i}", 10) for i in range(50)}
